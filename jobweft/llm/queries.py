@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobweft.llm.canonical import map_to_canonical
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from jobweft.session import table
 
@@ -16,5 +17,9 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "jobs"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return map_to_canonical(table(spark, sf, "jobs"), table(spark, sf, "canonical_values"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
 SQL: dict[str, str] = {}
