@@ -65,6 +65,23 @@ def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+class Sequences:
+    """Hashes of the n-word sequences of many texts, made in one pass over all their words. Repeats are kept."""
+
+    def __init__(self, texts: list[list[str]], n: int, hashes: WordHashes):
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        flat = np.array([hashes[w] for t in texts for w in t], dtype=np.uint64)
+        self.values = sequence_hashes(flat, n)  # those that run over the end of a text are never read
+        self.starts = np.cumsum(lengths) - lengths
+        self.counts = np.maximum(lengths - n + 1, 0)
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.starts[i] : self.starts[i] + self.counts[i]]
+
+
 def text_column(*parts: str) -> Column:
     """The parts joined by blanks, null as empty."""
     return F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
