@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobweft.session import checkpointed
+
 # Synonyms of the employment types and workplace types; order of types where several meet.
 EMPLOYMENT = {
     "Full-time": "temps plein, full time, ft, permanent, regular, tiempo completo, jornada completa, vollzeit, festanstellung, tempo pieno, voltijd",
@@ -138,50 +140,47 @@ def map_to_canonical(
     long = df.where(F.col(key).isNotNull()).select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("_e"))
     long = long.select(key, "_e.field_name", "_e.value").where(F.col("value").rlike(r"[^\s ]"))
     long = long.join(canon.select("field_name", F.col("entry").alias("value")), ["field_name", "value"], "left_anti")
-    values = long.select("field_name", "value").distinct().withColumn("_t", tokens(folded(F.col("value"))))
+    # each table below is small beside the data and used several times, so it is kept
+    values = checkpointed(long.select("field_name", "value").distinct().withColumn("_t", tokens(folded(F.col("value")))))
     place = F.col("field_name").isin(*place_fields)
+    short = F.create_map(*[F.lit(x) for k, v in PLACE_WORDS.items() for x in (k, v)])
     # the words of a short value written together are one more token, apart from the others
     joined = F.when(~place & F.size("_t").between(2, 4), F.array(F.struct(F.lit(-9).alias("pos"), F.array_join("_t", "").alias("token")))).otherwise(
         F.array().cast("array<struct<pos:int,token:string>>"))
-    spots = F.concat(F.transform("_t", lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("token"))), joined)
-    placed = values.select("field_name", "value", F.explode(spots).alias("_p")).select("field_name", "value", "_p.pos", "_p.token")
-    short = F.create_map(*[F.lit(x) for k, v in PLACE_WORDS.items() for x in (k, v)])
-    placed = placed.withColumn("token", F.when(F.col("field_name").isin(*place_fields), F.coalesce(short[F.col("token")], F.col("token"))).otherwise(F.col("token")))
+    spots = F.concat(F.transform("_t", lambda t, i: F.struct(i.cast("int").alias("pos"), F.when(place, F.coalesce(short[t], t)).otherwise(t).alias("token"))), joined)
+    placed = values.select("field_name", "value", F.inline(spots))
 
     phrases = reference_phrases(spark, canon, place_fields, synonyms).withColumn("_phrase", F.array_join("phrase", " "))
     words = phrases.select("field_name", "canon_id", "rank", "_phrase", F.size("phrase").alias("_n"), F.posexplode("phrase").alias("_i", "meant"))
-    words = words.withColumn("meant", F.when(F.col("field_name").isin(*place_fields), F.coalesce(short[F.col("meant")], F.col("meant"))).otherwise(F.col("meant")))
-    # all tokens of an entry, for the weights: of places region and country too
-    around = canon.where(place).select("field_name", "canon_id", F.explode(tokens(folded(F.regexp_replace("entry", "^[^,]*,?", "")))).alias("meant"))
-    entry_words = words.select("field_name", "canon_id", "meant").unionByName(around).distinct()
-    sizes = canon.groupBy("field_name").agg(F.count(F.lit(1)).alias("_all"))
-    weights = entry_words.groupBy("field_name", "meant").agg(F.count(F.lit(1)).alias("_df")).join(sizes, "field_name").select("field_name", "meant", F.log1p(F.col("_all") / F.col("_df")).alias("_idf"))
-    own = canon.select("field_name", F.explode(tokens(folded(F.col("entry")))).alias("meant")).distinct().withColumn("_own", F.lit(True))
-    vocabulary = weights.join(own, ["field_name", "meant"], "left").select("field_name", F.col("meant").alias("token"), F.col("_own").isNotNull().alias("own"))
+    words = checkpointed(words.withColumn("meant", F.when(place, F.coalesce(short[F.col("meant")], F.col("meant"))).otherwise(F.col("meant"))))
+    # all tokens of an entry with their weights: of places region and country too
+    whole = canon.select("field_name", "canon_id", F.explode(tokens(folded(F.col("entry")))).alias("meant"), F.lit(True).alias("_own"))
+    entry_words = words.select("field_name", "canon_id", "meant", F.lit(False).alias("_own")).unionByName(whole).groupBy("field_name", "canon_id", "meant").agg(F.max("_own").alias("_own"))
+    size = canon.groupBy("field_name").agg(F.count(F.lit(1)).alias("_all"))
+    per_word, per_entry = Window.partitionBy("field_name", "meant"), Window.partitionBy("field_name", "canon_id")  # entries of the reference list
+    entry_words = entry_words.join(size, "field_name").withColumn("_idf", F.log1p(F.col("_all") / F.count(F.lit(1)).over(per_word)))
+    entry_words = checkpointed(entry_words.withColumn("_norm", F.sqrt(F.sum(F.col("_idf") ** 2).over(per_entry))))
+    vocabulary = entry_words.groupBy("field_name", F.col("meant").alias("token")).agg(F.max("_own").alias("own"))
     repaired = repair(placed.select("field_name", "token").distinct(), vocabulary)
-    seen = placed.join(repaired, ["field_name", "token"]).select("field_name", "value", "pos", "meant", "sim")
+    seen = checkpointed(placed.join(repaired, ["field_name", "token"]).select("field_name", "value", "pos", "meant", "sim"))
 
     hits = (
         seen.join(words, ["field_name", "meant"]).groupBy("field_name", "value", "canon_id", "rank", "_phrase", "_n", (F.col("pos") - F.col("_i")).alias("_start"))
         .agg(F.count_distinct("_i").alias("_met"), F.sum("sim").alias("_sum")).where("_met = _n")
     )
-    openers = words.where(F.col("field_name").isin(*place_fields) & (F.col("_i") == 0) & (F.col("_n") > 1)).select("field_name", F.col("meant").alias("_opener")).distinct()
-    led = placed.join(openers, (placed["field_name"] == openers["field_name"]) & (placed["token"] == openers["_opener"])).select(
-        placed["field_name"], placed["value"], (placed["pos"] + 1).alias("_start"))
+    openers = words.where(place & (F.col("_i") == 0) & (F.col("_n") > 1)).select("field_name", F.col("meant").alias("token")).distinct()
+    led = placed.join(openers, ["field_name", "token"], "left_semi").select("field_name", "value", (F.col("pos") + 1).alias("_start"))
     hits = hits.join(led, ["field_name", "value", "_start"], "left_anti")
     candidates = hits.groupBy("field_name", "value", "canon_id").agg(F.min("rank").alias("rank"), F.max(F.col("_sum") / F.col("_n")).alias("_fit"))
     # the value's own country names as codes, and its region words, weigh the entries of one name
-    countries = country_names(spark)
-    grams = values.where(place).select("field_name", "value", F.explode(F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, 5)]), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t"), F.lit(1))), lambda i: i + n - 1 <= F.size("_t")), lambda i: F.array_join(F.slice("_t", i, n), " "))))).alias("phrase"))
-    codes = grams.join(countries, "phrase").select("field_name", "value", F.col("code").alias("meant"), F.lit(1.0).alias("sim"))
+    grams = values.where(place & (F.size("_t") > 0)).select("field_name", "value", F.explode(F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, 5)]), lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: i + n - 1 <= F.size("_t")), lambda i: F.array_join(F.slice("_t", i, n), " "))))).alias("phrase"))
+    codes = grams.join(country_names(spark), "phrase").select("field_name", "value", F.col("code").alias("meant"), F.lit(1.0).alias("sim"))
     evidence = seen.select("field_name", "value", "meant", "sim").unionByName(codes).groupBy("field_name", "value", "meant").agg(F.max("sim").alias("sim"))
-    norms = entry_words.join(weights, ["field_name", "meant"]).groupBy("field_name", "canon_id").agg(F.sqrt(F.sum(F.col("_idf") ** 2)).alias("_norm"))
     scores = (
-        candidates.join(entry_words, ["field_name", "canon_id"]).join(evidence, ["field_name", "value", "meant"]).join(weights, ["field_name", "meant"])
-        .groupBy("field_name", "value", "canon_id", "rank", "_fit").agg(F.sum(F.col("sim") * F.col("_idf") ** 2).alias("_score"))
-        .join(norms, ["field_name", "canon_id"])
+        candidates.join(entry_words, ["field_name", "canon_id"]).join(evidence, ["field_name", "value", "meant"])
+        .groupBy("field_name", "value", "canon_id", "rank", "_fit").agg(F.sum(F.col("sim") * F.col("_idf") ** 2 / F.col("_norm")).alias("_score"))
     )
-    order = Window.partitionBy("field_name", "value").orderBy("rank", F.desc("_fit"), F.desc(F.round(F.col("_score") / F.col("_norm"), 9)), "canon_id")  # candidates of one value only
-    best = scores.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("field_name", "value", "canon_id")
+    # the best of a value: least rank, then best fit, then greatest weight, then least canon_id
+    best = scores.groupBy("field_name", "value").agg(F.min(F.struct("rank", -F.col("_fit"), -F.round("_score", 9), "canon_id")).alias("_best")).select("field_name", "value", "_best.canon_id")
     return long.join(best, ["field_name", "value"], "left").select(key, "field_name", F.coalesce("canon_id", F.lit(0)).cast("long").alias("canon_id")).distinct()
