@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters without width, and the soft hyphen.
-INVISIBLE = "­᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
 
 _TAG = re.compile(r"<[^>]*>")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
