@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from jobweft.llm.canonical import map_to_canonical
+from jobweft.llm.entity_linking import link_names, same_entity_pairs
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from jobweft.session import table
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entity_pairs(table(spark, sf, "companies"))
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return link_names(table(spark, sf, "companies"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf, "jobs")).select("id_a", "id_b")
 
@@ -21,5 +30,5 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_to_canonical(table(spark, sf, "jobs"), table(spark, sf, "canonical_values"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
 SQL: dict[str, str] = {}
