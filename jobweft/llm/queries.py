@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jobweft.llm.canonical import map_to_canonical
 from jobweft.llm.entity_linking import link_names, same_entity_pairs
+from jobweft.llm.leakage import leaked_items, leaked_passages
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from jobweft.session import table
 
@@ -30,5 +31,13 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_to_canonical(table(spark, sf, "jobs"), table(spark, sf, "canonical_values"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL: dict[str, str] = {}
