@@ -8,6 +8,7 @@ from jobweft.llm.canonical import map_to_canonical
 from jobweft.llm.entity_linking import link_names, same_entity_pairs
 from jobweft.llm.leakage import leaked_items, leaked_passages
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from jobweft.llm.pii import find_personal, redact_personal
 from jobweft.session import table
 
 
@@ -39,5 +40,13 @@ def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_personal(table(spark, sf, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact_personal(table(spark, sf, "documents"), "key of the demonstration")
+
+
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
