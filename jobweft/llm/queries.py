@@ -8,6 +8,7 @@ from jobweft.llm.canonical import map_to_canonical
 from jobweft.llm.entity_linking import link_names, same_entity_pairs
 from jobweft.llm.leakage import leaked_items, leaked_passages
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from jobweft.llm.packing import pack_summary, pack_texts
 from jobweft.llm.pii import find_personal, redact_personal
 from jobweft.session import table
 
@@ -32,6 +33,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_to_canonical(table(spark, sf, "jobs"), table(spark, sf, "canonical_values"))
 
 
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_texts(table(spark, sf, "documents"), table(spark, sf, "pack_sizes"))
+
+
+def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_summary(p8_packed(spark, sf), table(spark, sf, "pack_sizes"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -48,5 +57,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact_personal(table(spark, sf, "documents"), "key of the demonstration")
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_packed": p8_packed, "p8_summary": p8_summary, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
