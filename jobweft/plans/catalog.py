@@ -1,6 +1,6 @@
 """All registered queries and their SQL, by name."""
 
-from jobweft.plans import problems
+from jobweft.plans import problems, relational
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**relational.QUERIES, **problems.QUERIES}
+SQL = {**relational.SQL, **problems.SQL}
