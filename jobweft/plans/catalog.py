@@ -1,6 +1,7 @@
 """All registered queries and their SQL, by name."""
 
 from jobweft.plans import problems, relational
+from jobweft.streaming import pipelines
 
-QUERIES = {**relational.QUERIES, **problems.QUERIES}
-SQL = {**relational.SQL, **problems.SQL}
+QUERIES = {**relational.QUERIES, **pipelines.QUERIES, **problems.QUERIES}
+SQL = {**relational.SQL, **pipelines.SQL, **problems.SQL}
