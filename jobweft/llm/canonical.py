@@ -157,9 +157,8 @@ def map_to_canonical(
     whole = canon.select("field_name", "canon_id", F.explode(tokens(folded(F.col("entry")))).alias("meant"), F.lit(True).alias("_own"))
     entry_words = words.select("field_name", "canon_id", "meant", F.lit(False).alias("_own")).unionByName(whole).groupBy("field_name", "canon_id", "meant").agg(F.max("_own").alias("_own"))
     size = canon.groupBy("field_name").agg(F.count(F.lit(1)).alias("_all"))
-    per_word, per_entry = Window.partitionBy("field_name", "meant"), Window.partitionBy("field_name", "canon_id")  # entries of the reference list
-    entry_words = entry_words.join(size, "field_name").withColumn("_idf", F.log1p(F.col("_all") / F.count(F.lit(1)).over(per_word)))
-    entry_words = checkpointed(entry_words.withColumn("_norm", F.sqrt(F.sum(F.col("_idf") ** 2).over(per_entry))))
+    per_word = Window.partitionBy("field_name", "meant")  # entries of the reference list
+    entry_words = checkpointed(entry_words.join(size, "field_name").withColumn("_idf", F.log1p(F.col("_all") / F.count(F.lit(1)).over(per_word))))
     vocabulary = entry_words.groupBy("field_name", F.col("meant").alias("token")).agg(F.max("_own").alias("own"))
     repaired = repair(placed.select("field_name", "token").distinct(), vocabulary)
     seen = checkpointed(placed.join(repaired, ["field_name", "token"]).select("field_name", "value", "pos", "meant", "sim"))
@@ -179,7 +178,7 @@ def map_to_canonical(
     evidence = seen.select("field_name", "value", "meant", "sim").unionByName(codes).groupBy("field_name", "value", "meant").agg(F.max("sim").alias("sim"))
     scores = (
         candidates.join(entry_words, ["field_name", "canon_id"]).join(evidence, ["field_name", "value", "meant"])
-        .groupBy("field_name", "value", "canon_id", "rank", "_fit").agg(F.sum(F.col("sim") * F.col("_idf") ** 2 / F.col("_norm")).alias("_score"))
+        .groupBy("field_name", "value", "canon_id", "rank", "_fit").agg(F.sum(F.col("sim") * F.col("_idf") ** 2).alias("_score"))
     )
     # the best of a value: least rank, then best fit, then greatest weight, then least canon_id
     best = scores.groupBy("field_name", "value").agg(F.min(F.struct("rank", -F.col("_fit"), -F.round("_score", 9), "canon_id")).alias("_best")).select("field_name", "value", "_best.canon_id")
