@@ -59,9 +59,10 @@ def snapshot_changes(
     not read. Contents are compared by two independent 64-bit digests.
 
     ``bits`` is the fan-out of the tree as a power of two. ``depth`` defaults to what gives about
-    ``leaf_rows`` rows to a leaf, from a row count that a columnar file answers from its footers. The
-    rows are shuffled once, by leaf, and every later step keeps that partitioning; a key that is common
-    to many rows (one company) is spread over all leaves since the whole key is hashed.
+    ``leaf_rows`` rows to a leaf, from a row count that a columnar file answers from its footers. Repeated
+    rows are combined before they are shuffled; what is left is shuffled by leaf, and the later steps
+    keep that partitioning. A column common to many rows (one company) is spread over all leaves, since
+    the whole key is hashed.
     With ``report`` the result is instead one row per tree level and snapshot: nodes and differing nodes.
     """
     kinds = dict(df.dtypes)
@@ -80,12 +81,13 @@ def snapshot_changes(
         .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ("_s", *keys)]))
         .withColumn("_leaf", F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits * depth))
     )
+    # repeated rows of one key are combined in each task before the first shuffle; the second brings the leaves together
     last = (
-        rows.repartition("_leaf")
-        .groupBy("_leaf", "_s", *keys)
+        rows.groupBy("_leaf", "_s", *keys)
         .agg(F.max(F.struct("_o", "_live", "_h1", "_h2")).alias("_v"))
         .where("_v._live")
         .select("_leaf", "_s", *keys, "_v._h1", "_v._h2")
+        .repartition("_leaf")
     )
     # each live row is "now" for its own snapshot and "before" for the next one
     sides = (
