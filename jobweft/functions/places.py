@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,19 @@ ALIAS_GROUPS = [
     ["united arab emirates", "emirates", "uae"], ["netherlands", "holland"], ["germany", "deutschland"],
 ]
 # Regions of the world as country codes.
+_EU = "at be bg hr cy cz dk ee fi fr de gr hu ie it lv lt lu mt nl pl pt ro sk si es se"
+_APAC = "au nz sg jp in cn kr hk tw my th ph id vn"
+_LATAM = "mx br ar cl co pe uy cr pa gt ec do"
 REGIONS = {
-    "dach": "de at ch", "benelux": "be nl lu", "nordics": "dk fi is no se", "scandinavia": "dk no se", "baltics": "ee lv lt", "iberia": "es pt",
-    "north america": "us ca mx", "anz": "au nz", "gcc": "ae bh kw om qa sa", "maghreb": "ma dz tn ly mr",
+    "european union": _EU, "eu": _EU,
+    "europe": "gb ie de fr es it nl be pt se dk no fi is pl cz at ch gr ro hu sk bg hr si lt lv ee lu mt cy ua rs",
+    "emea": "gb ie de fr es it nl be se dk no fi pl cz at ch pt gr ro hu ae sa il tr eg za ng ke ma",
+    "north america": "us ca mx", "central america": "mx gt bz sv hn ni cr pa", "south america": "br ar cl co pe uy py bo ec ve",
+    "latin america": _LATAM, "latam": _LATAM, "americas": "us ca mx br ar cl co pe cr pa uy", "apac": _APAC, "asia pacific": _APAC,
+    "apj": "au nz sg jp in kr hk tw my th ph id vn", "asia": "in cn jp kr sg hk tw my th ph id vn ae sa il pk bd", "southeast asia": "sg my th ph id vn kh la mm",
+    "anz": "au nz", "australia and new zealand": "au nz", "middle east": "ae sa il qa kw bh om jo lb tr", "mena": "ae sa il qa kw bh om jo lb eg ma tn dz",
+    "gcc": "ae sa qa kw bh om", "africa": "za ng ke eg gh ma tz ug rw et sn ci", "nordics": "se no dk fi is", "scandinavia": "se no dk", "benelux": "nl be lu",
+    "dach": "de at ch", "uki": "gb ie", "uk and ireland": "gb ie",
 }
 
 
@@ -52,7 +63,20 @@ def resolve_country(spark: SparkSession, term: str) -> str | None:
 
 
 def region_codes(term: str) -> list[str]:
-    return REGIONS.get(re.sub(r"[^a-z ]", "", squeezed_key(term)), "").split()
+    """Country codes of a region's name, whatever its accents, quotes and marks; none if it is no region."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", term) if not unicodedata.combining(c))
+    return REGIONS.get(squeezed_key(re.sub(r"[^a-z ]+", " ", plain.lower())), "").split()
+
+
+def place_filter(jobs: DataFrame, term: str, *, key: str = "id", location: str = "location") -> DataFrame:
+    """The rows that a location term means: those of the country it names, else of the region, else with it among their tokens; more than four words are looked for as they stand."""
+    codes = [c] if (c := resolve_country(jobs.sparkSession, term)) else region_codes(term)
+    if codes:
+        named = with_countries(jobs, location, key).where(F.col("country").isin(codes)).select(key).distinct()
+        return jobs.join(named, key, "left_semi")
+    plain = squeezed_key(term)
+    match = F.array_contains(location_tokens(F.col(location)), plain)
+    return jobs.where(match | F.contains(F.lower(location), F.lit(plain)) if len(plain.split()) > 4 else match)
 
 
 def location_tokens(location: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweft.functions import classify, places, salary, text
+from jobweft.functions import classify, names, places, salary, text
 from jobweft.functions.patterns import either, sql_first_label, sql_found
 from jobweft.operators import changes, matching
 from jobweft.operators.merge import POLICIES, Policy, absence, last_of_key, merge, sync_counts
@@ -306,6 +306,31 @@ def countries(spark, sf):
     return places.with_countries(jobs(spark, sf), "location", "id")
 
 
+def search_region(spark, sf):
+    live = jobs(spark, sf).where("removed_at IS NULL").select("id", "location")
+    return places.place_filter(live, "DACH").withColumn("term", F.lit("dach")).unionByName(places.place_filter(live, "United Kingdom").withColumn("term", F.lit("gb")))
+
+
+def slug_candidates(spark, sf):
+    return companies(spark, sf).select("id", F.explode(names.slug_candidates(F.col("company_name"), F.col("domain"))).alias("slug"))
+
+
+def board_addresses(spark, sf):
+    return companies(spark, sf).select("id", names.board_address(F.col("ats"), F.col("ats_slug")).alias("address"))
+
+
+def company_collapse(spark, sf):
+    d = jobs(spark, sf).where("company_id IS NOT NULL").groupBy("company_id").agg(F.min_by("title", "id").alias("first_title"), F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
+    return d
+
+
+def employer_variants(spark, sf):
+    """Sites whose company names may be spellings of one employer. A site's names are first counted, so an array holds distinct spellings only, and only of sites with few."""
+    c = companies(spark, sf).where("company_name IS NOT NULL").select(text.clean_domain(F.col("domain")).alias("site"), "company_name").where("site IS NOT NULL AND NOT endswith(site, 'jobs.example')").distinct()
+    few = c.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 50").select("site")
+    return c.join(few, "site", "left_semi").groupBy("site").agg(F.sort_array(F.collect_set("company_name")).alias("spellings")).select("site", F.size("spellings").alias("n"), names.one_employer(F.col("spellings")).alias("one"))
+
+
 def strip_html(spark, sf):
     return jobs(spark, sf).where("description IS NOT NULL").select("id", text.strip_html(F.col("description")).alias("plain"))
 
@@ -436,7 +461,7 @@ QUERIES = {
         unique_key_join, dup_key_groups, cascade_match, prefix_fuzzy, nearest_preceding, domain_survivors, dedup_overlap, param_grid, completeness, absence_histogram, age_buckets, retention,
         modulo_partition, keyset_page, prune_candidates, fair_interleave, last_wins, first_wins, percentile_floor, absence_streaks, demand_rollup, demand_top, sync_metrics, absence_counts,
         change_capture, outbox_add, outbox_delete, dim_fanout, replicate_delta, normalise_types, types_in_text, classify_remote, classify_role, classify_level, salary_extract, location_tokens,
-        countries, strip_html, quality_gate, url_parts, json_path, index_documents)
+        countries, search_region, slug_candidates, board_addresses, company_collapse, employer_variants, strip_html, quality_gate, url_parts, json_path, index_documents)
 } | {f"merge_{name}": merged(name) for name in POLICIES}
 
 SQL = {
@@ -505,6 +530,8 @@ SQL = {
     "classify_role": f"SELECT id, {sql_first_label('title', classify.ROLE_RULES, 'Other')} AS role FROM {JD} j",
     "classify_level": f"SELECT id, {_LEVEL} AS level FROM {JD} j",
     "location_tokens": f"SELECT id, unnest({TOKENS}) AS token FROM {JD} j WHERE location IS NOT NULL",
+    "board_addresses": f"SELECT id, CASE {' '.join(f"WHEN ats = '{k}' THEN '{v.split('{}')[0]}' || ats_slug || '{v.split('{}')[1]}'" for k, v in names.BOARD_ADDRESSES.items())} ELSE 'https://' || ats_slug || '.com/careers' END AS address FROM {CD} c",
+    "company_collapse": f"SELECT company_id, first(title ORDER BY id) AS first_title, count(*) AS n, min(url) AS first_url FROM {JD} j WHERE company_id IS NOT NULL GROUP BY 1",
     "strip_html": rf"SELECT id, regexp_replace({_HTML}, '^\s+|\s+$', '', 'g') AS plain FROM {JD} j WHERE description IS NOT NULL",
     "quality_gate": rf"""SELECT id, coalesce(length({_PLAIN}) >= 300 AND NOT regexp_matches({_PLAIN}, '(?:\.\.\.|…)$') AND NOT regexp_matches({_PLAIN}, '%[A-Z_]+%') AND (length({_PLAIN}) >= 800 OR regexp_matches({_PLAIN}, '[.!?:;)"'']$')), false) AS good FROM {JD} j""",
     "url_parts": rf"""SELECT id, {_HOST} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, {_site(_HOST)} AS site, regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1) AS native_id FROM {JD} j""",
