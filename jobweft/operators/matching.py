@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,24 +39,31 @@ def unique_claims(df: DataFrame, claimed: str, owner: str) -> DataFrame:
     return df.where(F.col(claimed).isNotNull()).groupBy(claimed).agg(F.min(owner).alias(owner), F.max(owner).alias("_m")).where(F.col(owner) == F.col("_m")).drop("_m")
 
 
-def nearest_before(points: DataFrame, marks: DataFrame, by: str, at: str, mark_key: str) -> DataFrame:
+def nearest_before(points: DataFrame, marks: DataFrame, by: str, at: str, mark_key: str, bucket: Column | None = None) -> DataFrame:
     """The points with the last mark of the same key at or before them (null if there is none), and its time.
 
-    Points and marks are sorted together once per key; no pair is ever formed.
+    Each key's time is cut into buckets (days of a timestamp, thousands of a number, or ``bucket``, which
+    must rise with it), so that a key with most of the rows is sorted in many tasks: the last mark of
+    each bucket is carried to the later ones first. No pair is ever formed. Of marks at one time the
+    greatest counts; points with a null key or time find none.
     """
-    from pyspark.sql import Window
-
-    both = points.select(by, F.col(at).alias("_at"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(marks.schema[mark_key].dataType).alias("_m")).unionByName(
-        marks.select(by, F.col(at).alias("_at"), F.lit(None).cast(points.select(F.struct(*points.columns).alias("p")).schema["p"].dataType).alias("_p"), F.col(mark_key).alias("_m")))
-    order = Window.partitionBy(by).orderBy("_at", F.col("_p").isNotNull(), F.col("_m")).rowsBetween(Window.unboundedPreceding, 0)
-    d = both.withColumn("_near", F.last(F.when(F.col("_m").isNotNull(), F.struct("_m", "_at")), ignorenulls=True).over(order))
-    return d.where("_p IS NOT NULL").select("_p.*", F.col("_near._m").alias(f"near_{mark_key}"), F.col("_near._at").alias("near_at"))
+    kind = dict(points.dtypes)[at]
+    cut = bucket if bucket is not None else F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 86_400_000_000) if kind.startswith("timestamp") else F.floor(F.col(at) / 1000)
+    point_type = points.select(F.struct(*points.columns).alias("p")).schema["p"].dataType
+    m = marks.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(F.col(by).alias("_by"), cut.alias("_b"), F.col(at).alias("_at"), F.lit(None).cast(point_type).alias("_p"), F.col(mark_key).alias("_m"))
+    p = points.select(F.col(by).alias("_by"), cut.alias("_b"), F.col(at).alias("_at"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(marks.schema[mark_key].dataType).alias("_m"))
+    last = m.groupBy("_by", "_b").agg(F.max(F.struct("_at", "_m")).alias("_last"))
+    asked = last.unionByName(p.select("_by", "_b").distinct().withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType))).groupBy("_by", "_b").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # buckets of one key, not its rows
+    carried = asked.select("_by", "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy("_by", "_b").orderBy("_at", F.col("_p").isNotNull(), "_m").rowsBetween(Window.unboundedPreceding, 0)
+    d = p.unionByName(m).withColumn("_near", F.last(F.when(F.col("_m").isNotNull(), F.struct("_at", "_m")), ignorenulls=True).over(within)).where("_p IS NOT NULL")
+    d = d.join(carried, ["_by", "_b"], "left").withColumn("_near", F.coalesce("_near", "_carried"))
+    return d.select("_p.*", F.col("_near._m").alias(f"near_{mark_key}"), F.col("_near._at").alias("near_at"))
 
 
 def absence_runs(seen: DataFrame, key: Sequence[str], order: str, present: str) -> DataFrame:
     """Rows (key, run_start, run_length) of the longest runs of consecutive absences of each key (gaps and islands)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*key).orderBy(order)
     d = seen.withColumn("_seen", F.sum(F.when(F.col(present), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col(present))
     runs = d.groupBy(*key, "_seen").agg(F.min(order).alias("run_start"), F.count(F.lit(1)).alias("run_length"))

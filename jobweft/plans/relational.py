@@ -325,10 +325,12 @@ def company_collapse(spark, sf):
 
 
 def employer_variants(spark, sf):
-    """Sites whose company names may be spellings of one employer. A site's names are first counted, so an array holds distinct spellings only, and only of sites with few."""
-    c = companies(spark, sf).where("company_name IS NOT NULL").select(text.clean_domain(F.col("domain")).alias("site"), "company_name").where("site IS NOT NULL AND NOT endswith(site, 'jobs.example')").distinct()
-    few = c.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 50").select("site")
-    return c.join(few, "site", "left_semi").groupBy("site").agg(F.sort_array(F.collect_set("company_name")).alias("spellings")).select("site", F.size("spellings").alias("n"), names.one_employer(F.col("spellings")).alias("one"))
+    """Sites whose company names may be spellings of one employer: the shortest and the longest of a site are found first, then every name is tested against them."""
+    c = companies(spark, sf).select(text.clean_domain(F.col("domain")).alias("site"), F.col("company_name").alias("name"), text.flat_name(F.col("company_name")).alias("core"))
+    c = c.where("site IS NOT NULL AND NOT endswith(site, 'jobs.example') AND core <> ''").distinct()
+    ends = c.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.length("core").alias("l"), "core"))["core"].alias("shortest"), F.max(F.struct(F.length("name").alias("l"), "name"))["name"].alias("longest")).where("n > 1")
+    same = F.contains("core", "shortest") | F.contains("shortest", "core") | names.is_acronym(F.col("shortest"), F.col("longest"))
+    return c.join(ends, "site").groupBy("site").agg(F.first("n").alias("n"), F.bool_and((F.length("shortest") >= 2) & same).alias("one"))
 
 
 def strip_html(spark, sf):
