@@ -25,12 +25,15 @@ def now() -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
 
 
-def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "jobs").dropDuplicates(["id"])
+def jobs(spark: SparkSession, sf: str, where: str | Column | None = None) -> DataFrame:
+    """One row per posting. Repeated rows are equal, so the condition goes first, to the scan; columns not used later are not read."""
+    d = table(spark, sf, "jobs")
+    return (d if where is None else d.where(where)).dropDuplicates(["id"])
 
 
-def companies(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "companies").dropDuplicates(["id"])
+def companies(spark: SparkSession, sf: str, where: str | Column | None = None) -> DataFrame:
+    d = table(spark, sf, "companies")
+    return (d if where is None else d.where(where)).dropDuplicates(["id"])
 
 
 def newest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,12 +75,12 @@ def directory_counts(spark, sf):
 
 
 def profile_left_on(spark, sf):
-    live = jobs(spark, sf).where("removed_at IS NULL").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("newest"))
+    live = jobs(spark, sf, "removed_at IS NULL").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("newest"))
     return companies(spark, sf).join(live, F.col("id") == F.col("company_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("live"), "newest")
 
 
 def company_count(spark, sf):
-    return jobs(spark, sf).where("removed_at IS NULL AND company_id IS NOT NULL").join(companies(spark, sf).select(F.col("id").alias("company_id")), "company_id", "left_semi").agg(F.count_distinct("company_id").alias("n"))
+    return jobs(spark, sf, "removed_at IS NULL AND company_id IS NOT NULL").join(companies(spark, sf).select(F.col("id").alias("company_id")), "company_id", "left_semi").agg(F.count_distinct("company_id").alias("n"))
 
 
 def two_key_count(spark, sf):
@@ -85,12 +88,12 @@ def two_key_count(spark, sf):
 
 
 def semi_live(spark, sf):
-    live = jobs(spark, sf).where("removed_at IS NULL").select(F.col("company_id").alias("id"))
+    live = jobs(spark, sf, "removed_at IS NULL").select(F.col("company_id").alias("id"))
     return companies(spark, sf).join(live, "id", "left_semi").select("id", "ats")
 
 
 def anti_processed(spark, sf):
-    seen = jobs(spark, sf).where("last_checked_at IS NOT NULL").select(F.col("company_id").alias("id"))
+    seen = jobs(spark, sf, "last_checked_at IS NOT NULL").select(F.col("company_id").alias("id"))
     return companies(spark, sf).join(seen, "id", "left_anti").select("id", "ats")
 
 
@@ -131,7 +134,7 @@ def domain_survivors(spark, sf):
 
 
 def _weighed(spark, sf):
-    live = jobs(spark, sf).where("removed_at IS NULL").groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).alias("live"))
+    live = jobs(spark, sf, "removed_at IS NULL").groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).alias("live"))
     return companies(spark, sf).select("id", text.clean_domain(F.col("domain")).alias("site")).where("site IS NOT NULL AND NOT endswith(site, 'jobs.example')").join(live, "id", "left").fillna(0, ["live"])
 
 
@@ -139,7 +142,7 @@ def dedup_overlap(spark, sf):
     w = _weighed(spark, sf)
     keep = matching.survivors(w, ["site"], "id", "live").select("site", F.col("survivor").alias("keeper"))
     losers = w.join(keep, "site").where("id <> keeper").select(F.col("id").alias("company_id"), "keeper")
-    live = jobs(spark, sf).where("removed_at IS NULL AND external_id IS NOT NULL")
+    live = jobs(spark, sf, "removed_at IS NULL AND external_id IS NOT NULL")
     kept = live.select(F.col("company_id").alias("keeper"), "external_id").distinct()
     return live.join(losers, "company_id").join(kept, ["keeper", "external_id"], "left_semi").select("id", "company_id", "external_id")
 
@@ -156,7 +159,7 @@ def completeness(spark, sf):
 
 
 def absence_histogram(spark, sf):
-    return jobs(spark, sf).where("removed_at IS NULL").groupBy(F.coalesce("absent_syncs", F.lit(0)).alias("absent")).agg(F.count(F.lit(1)).alias("n")).orderBy("absent").limit(4)
+    return jobs(spark, sf, "removed_at IS NULL").groupBy(F.coalesce("absent_syncs", F.lit(0)).alias("absent")).agg(F.count(F.lit(1)).alias("n")).orderBy("absent").limit(4)
 
 
 def age_buckets(spark, sf):
@@ -166,29 +169,29 @@ def age_buckets(spark, sf):
 
 
 def retention(spark, sf):
-    return jobs(spark, sf).where(F.col("created_at") < now() - F.expr("INTERVAL '90' DAY")).select("id")
+    return jobs(spark, sf, F.col("created_at") < now() - F.expr("INTERVAL '90' DAY")).select("id")
 
 
 def modulo_partition(spark, sf):
-    return jobs(spark, sf).where(F.pmod("id", F.lit(8)) == 3).groupBy(F.pmod("company_id", F.lit(8)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    return jobs(spark, sf, F.pmod("id", F.lit(8)) == 3).groupBy(F.pmod("company_id", F.lit(8)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
 
 
 def keyset_page(spark, sf):
-    return jobs(spark, sf).where("id > 1000").orderBy("id").limit(100).select("id", "title")
+    return jobs(spark, sf, "id > 1000").orderBy("id").limit(100).select("id", "title")
 
 
 def prune_candidates(spark, sf):
     due = F.col("last_checked_at").isNull() | (F.col("last_checked_at") < now() - F.expr("INTERVAL '14' DAY"))
     aged = F.col("created_at") < now() - F.expr("INTERVAL '30' DAY")
     c = companies(spark, sf).select(F.col("id").alias("company_id"), "last_synced_at")
-    d = jobs(spark, sf).where("removed_at IS NULL").where(due).join(c, "company_id").withColumn("missing", F.coalesce(F.col("last_synced_at") > F.col("last_seen_at"), F.lit(False)))
+    d = jobs(spark, sf, "removed_at IS NULL").where(due).join(c, "company_id").withColumn("missing", F.coalesce(F.col("last_synced_at") > F.col("last_seen_at"), F.lit(False)))
     return d.where(aged | F.col("missing")).orderBy("id").limit(500).select("id", "company_id", "missing")
 
 
 def fair_interleave(spark, sf):
     from pyspark.sql import Window
 
-    c = companies(spark, sf).where("status = 'active'").where(F.col("last_synced_at").isNull() | (F.col("last_synced_at") < now()))
+    c = companies(spark, sf, "status = 'active'").where(F.col("last_synced_at").isNull() | (F.col("last_synced_at") < now()))
     # only the first of each board can reach the page, so the window is cut before it is shuffled
     rn = F.row_number().over(Window.partitionBy("ats").orderBy(F.asc_nulls_first("last_synced_at"), "id"))
     return c.select("id", "ats", "last_synced_at", rn.alias("rn")).where("rn <= 100").orderBy("rn", F.asc_nulls_first("last_synced_at"), "id").limit(100).select("id", "ats", "rn")
@@ -208,7 +211,7 @@ def percentile_floor(spark, sf):
     """p50, p90 and greatest length by floor rank: counts of equal lengths first, so no board's rows meet in one task."""
     from pyspark.sql import Window
 
-    lengths = jobs(spark, sf).where("description IS NOT NULL").groupBy(F.lower(F.trim("ats")).alias("ats"), F.length("description").alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    lengths = jobs(spark, sf, "description IS NOT NULL").groupBy(F.lower(F.trim("ats")).alias("ats"), F.length("description").alias("len")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("ats").orderBy("len")  # distinct lengths of one board
     d = lengths.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("ats")))
     rank = lambda p: F.greatest(F.floor(F.col("all") * p), F.lit(1))
@@ -256,11 +259,11 @@ def change_capture(spark, sf):
 
 
 def outbox_add(spark, sf):
-    return changes.outbox_split(jobs(spark, sf).where("last_checked_at IS NOT NULL"))[0]
+    return changes.outbox_split(jobs(spark, sf, "last_checked_at IS NOT NULL"))[0]
 
 
 def outbox_delete(spark, sf):
-    return changes.outbox_split(jobs(spark, sf).where("last_checked_at IS NOT NULL"))[1]
+    return changes.outbox_split(jobs(spark, sf, "last_checked_at IS NOT NULL"))[1]
 
 
 def dim_fanout(spark, sf):
@@ -299,7 +302,7 @@ def salary_extract(spark, sf):
 
 
 def location_tokens(spark, sf):
-    return jobs(spark, sf).where("location IS NOT NULL").select("id", F.explode(places.location_tokens(F.col("location"))).alias("token"))
+    return jobs(spark, sf, "location IS NOT NULL").select("id", F.explode(places.location_tokens(F.col("location"))).alias("token"))
 
 
 def countries(spark, sf):
@@ -307,7 +310,7 @@ def countries(spark, sf):
 
 
 def search_region(spark, sf):
-    live = jobs(spark, sf).where("removed_at IS NULL").select("id", "location")
+    live = jobs(spark, sf, "removed_at IS NULL").select("id", "location")
     return places.place_filter(live, "DACH").withColumn("term", F.lit("dach")).unionByName(places.place_filter(live, "United Kingdom").withColumn("term", F.lit("gb")))
 
 
@@ -320,7 +323,7 @@ def board_addresses(spark, sf):
 
 
 def company_collapse(spark, sf):
-    d = jobs(spark, sf).where("company_id IS NOT NULL").groupBy("company_id").agg(F.min_by("title", "id").alias("first_title"), F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
+    d = jobs(spark, sf, "company_id IS NOT NULL").groupBy("company_id").agg(F.min_by("title", "id").alias("first_title"), F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
     return d
 
 
@@ -334,7 +337,7 @@ def employer_variants(spark, sf):
 
 
 def strip_html(spark, sf):
-    return jobs(spark, sf).where("description IS NOT NULL").select("id", text.strip_html(F.col("description")).alias("plain"))
+    return jobs(spark, sf, "description IS NOT NULL").select("id", text.strip_html(F.col("description")).alias("plain"))
 
 
 def quality_gate(spark, sf):
@@ -347,11 +350,11 @@ def url_parts(spark, sf):
 
 
 def json_path(spark, sf):
-    return jobs(spark, sf).where("raw_data IS NOT NULL").select("id", F.get_json_object("raw_data", "$.board").alias("board"), F.get_json_object("raw_data", "$.v").try_cast("int").alias("v"))
+    return jobs(spark, sf, "raw_data IS NOT NULL").select("id", F.get_json_object("raw_data", "$.board").alias("board"), F.get_json_object("raw_data", "$.v").try_cast("int").alias("v"))
 
 
 def index_documents(spark, sf):
-    return jobs(spark, sf).where("removed_at IS NULL").select(*changes.indexed_document())
+    return jobs(spark, sf, "removed_at IS NULL").select(*changes.indexed_document())
 
 
 JD = "(SELECT DISTINCT ON (id) * FROM jobs)"

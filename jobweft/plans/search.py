@@ -100,29 +100,35 @@ def canonical_employment(value: str) -> str | None:
 
 
 def prepared(jobs: DataFrame) -> DataFrame:
-    """One row per posting with the derived columns that the filters read; in production they are written once, at load."""
-    return jobs.dropDuplicates(["id"]).select(
+    """Postings with the derived columns that the filters read; in production they are written once, at load."""
+    return jobs.select(
         "id", "company_id", F.lower(F.trim("ats")).alias("ats"), "title", "department", "location", "url", "experience_level", "created_at", "removed_at", "random_rank",
         F.coalesce("is_remote", F.lit(False)).alias("is_remote"), classify.workplace_type(F.col("workplace_type")).alias("workplace"),
         classify.employment_type(F.col("employment_type")).alias("employment"), tokens("title", "department", "location").alias("search_tokens"))
 
 
+def matching(jobs: DataFrame, filters: Filters, *columns: str) -> DataFrame:
+    """One row per matching posting. Repeated rows are equal, so they are dropped last, when few and narrow."""
+    return prepared(jobs).where(filters.condition()).select("id", *columns).distinct()
+
+
 def top_k(jobs: DataFrame, companies: DataFrame, filters: Filters, limit: int = 50, offset: int = 0) -> DataFrame:
     """The newest postings that match, ties by their random rank and id, with the company's name. The heavy columns are never read."""
-    hits = prepared(jobs).where(filters.condition()).orderBy(F.desc_nulls_last("created_at"), F.asc_nulls_last("random_rank"), "id").offset(offset).limit(min(limit, 200))
-    names = companies.dropDuplicates(["id"]).select(F.col("id").alias("company_id"), "company_name", "domain")
-    return hits.join(names, "company_id", "left").select("id", "title", "location", "ats", "workplace", "employment", "created_at", "company_id", "company_name")
+    shown = ("title", "location", "ats", "workplace", "employment", "created_at", "company_id")
+    hits = matching(jobs, filters, *shown, "random_rank").orderBy(F.desc_nulls_last("created_at"), F.asc_nulls_last("random_rank"), "id").offset(offset).limit(min(limit, 200))
+    names = companies.dropDuplicates(["id"]).select(F.col("id").alias("company_id"), "company_name")
+    return hits.join(names, "company_id", "left").select("id", *shown, "company_name")
 
 
 def capped_count(jobs: DataFrame, filters: Filters, cap: int = 1000) -> DataFrame:
     """One row (total, is_capped): counting stops behind the cap."""
-    n = prepared(jobs).where(filters.condition()).select("id").limit(cap + 1).agg(F.count(F.lit(1)).alias("n"))
+    n = matching(jobs, filters).limit(cap + 1).agg(F.count(F.lit(1)).alias("n"))
     return n.select(F.least("n", F.lit(cap)).alias("total"), (F.col("n") > cap).alias("is_capped"))
 
 
 def facets(jobs: DataFrame, filters: Filters | None = None, by: Sequence[str] = ("ats", "workplace", "employment", "experience_level")) -> DataFrame:
     """Rows (facet, value, n) over the matching postings, all facets in one pass; nulls are left out."""
-    hits = prepared(jobs).where((filters or Filters()).condition())
+    hits = matching(jobs, filters or Filters(), *by)
     long = hits.select(F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in by])).alias("f")).select("f.*")
     return long.where("value IS NOT NULL AND value <> ''").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
