@@ -21,6 +21,8 @@ from jobweft.session import checkpointed, ship
 SMALL_VOCABULARY = 4_000_000
 #: Up to so many test sequences are sent to every executor; beyond, they are shuffled by term.
 SMALL_QUERIES = 2_000_000
+#: A list holds the positions of a stretch of 1,024 words, so that no list grows with the length of a text.
+BLOCK_BITS = 10
 
 
 def _postings(vocabulary: np.ndarray | None):
@@ -42,23 +44,24 @@ def _postings(vocabulary: np.ndarray | None):
                 continue
             order = np.lexsort((position, term, doc))
             term, doc, position = term[order], doc[order], position[order]
-            first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
+            block = position >> BLOCK_BITS
+            first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)].astype(np.int32)), pa.array(position))
             names = pa.array(docs, batch["doc"].type).take(pa.array(doc[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(term[first]), names, lists], ["term", "doc", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array(term[first]), names, pa.array(block[first]), lists], ["term", "doc", "block", "positions"])
 
     return run
 
 
 def positional_index(df: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The index: one row (term, doc, positions) for each term of each document, of all terms or those of a sorted vocabulary.
+    """The index: one row (term, doc, block, positions) for each term of each stretch of each document, of all terms or those of a sorted vocabulary.
 
     Whole texts are read, nulls and texts without words give no row, repeated rows give equal rows.
     """
     ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
     source = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    return source.mapInArrow(_postings(vocabulary), f"term long, doc {kind}, positions array<int>")
+    return source.mapInArrow(_postings(vocabulary), f"term long, doc {kind}, block int, positions array<int>")
 
 
 def _grams(n: int):
@@ -112,13 +115,14 @@ def sequence_matches(corpus: DataFrame, items: DataFrame, *, key: str, text: str
     if n == 1:
         hits = starts.select("doc", "gram", "start")
     else:
-        lists = index.select("doc", "term", "positions")
-        second = starts.select("doc", "gram", "start", F.col("next").alias("term"), (F.col("start") + F.col("next_offset")).alias("at"))
-        hits = second.join(lists, ["doc", "term"]).where(F.array_contains("positions", F.col("at"))).select("doc", "gram", "start")
+        lists = index.select("doc", "term", "block", "positions")
+        stretch = F.shiftright("at", BLOCK_BITS).alias("block")
+        second = starts.select("doc", "gram", "start", F.col("next").alias("term"), (F.col("start") + F.col("next_offset")).alias("at")).select("*", stretch)
+        hits = second.join(lists, ["doc", "term", "block"]).where(F.array_contains("positions", F.col("at"))).select("doc", "gram", "start")
         if n > 2:
             rest = hits.join(plan, "gram").select("doc", "gram", "start", F.explode(F.slice("steps", 3, n - 2)).alias("s"))
-            rest = rest.select("doc", "gram", "start", F.col("s.term").alias("term"), (F.col("start") + F.col("s.offset")).alias("at"))
-            met = rest.join(lists, ["doc", "term"]).where(F.array_contains("positions", F.col("at")))
+            rest = rest.select("doc", "gram", "start", F.col("s.term").alias("term"), (F.col("start") + F.col("s.offset")).alias("at")).select("*", stretch)
+            met = rest.join(lists, ["doc", "term", "block"]).where(F.array_contains("positions", F.col("at")))
             hits = met.groupBy("doc", "gram", "start").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") == n - 2).select("doc", "gram", "start")
     return hits.join(owners, "gram").select("doc", "item", "gram", "start").distinct()
 
