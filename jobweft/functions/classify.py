@@ -39,6 +39,27 @@ REMOTE_YES = [r"\bfully\s*remote\b", r"\b100%\s*remote\b", r"\bwork\s*from\s*hom
               r"\bremote\s*job\b", r"\bremote\s*opportunity\b", r"\blocation:\s*remote\b", r"\bwork\s*remotely\b", r"\banywhere\b"]
 REMOTE_NO = [r"\bnot\s*remote\b", r"\bnon[\s-]*remote\b", r"\bin[\s-]*office\b", r"\bon[\s-]*site\s*only\b", r"\bhybrid\b", r"\bremote\s*not\s*available\b", r"\bno\s*remote\b"]
 REMOTE_EVERYWHERE = r"\b(?:worldwide|anywhere|global)\b"
+# Places that tie a posting to a part of the world; the codes count in capitals only.
+TIED = [
+    r"\b(?:united\s*states|usa|u\.?s\.?)\b", r"\b(?:united\s*kingdom|uk)\b",
+    r"\b(?:canada|germany|france|india|australia|china|japan|brazil|mexico|spain|italy|netherlands|ireland|singapore|israel|poland|portugal|switzerland|austria|sweden|norway|denmark|finland|belgium|czech|romania|hungary|philippines|indonesia|vietnam|thailand|malaysia|korea|taiwan|argentina|colombia|chile|peru|nigeria|kenya|south\s*africa|egypt|morocco|new\s*zealand)\b",
+    r"\b(?:california|new\s*york|texas|florida|london|berlin|toronto|sydney|paris|amsterdam|dublin|munich|zurich|copenhagen|stockholm|oslo|barcelona|madrid|milan|rome|lisbon|warsaw|prague|budapest|bangalore|mumbai|delhi|shanghai|beijing|tokyo|seoul|manila|jakarta|bogota|sao\s*paulo|nairobi|cape\s*town|auckland)\b",
+    r"\b(?:emea|apac|latam|latin\s*america|americas|north\s*america|south\s*america|asia|africa|middle\s*east|oceania)\b", r"\b(?:europe|european)\b",
+]
+TIED_CODES = r"\b(?:US|UK|CA|AU|DE|FR|IN|BR|JP|CN|SG|IE|NL|IL|PL|PT|CH|SE|NO|DK|FI|BE|CZ|RO|NZ)\b"
+# Limits to a country in a description, work that is done on the spot, and cities in titles.
+RESTRICTED = [r"\b(?:us|u\.?s\.?|united\s*states)\s*only\b", r"\b(?:uk|united\s*kingdom)\s*only\b", r"\bmust\s*be\s*(?:based|located)\s*in\b", r"\brestricted\s*to\b", r"\beligible\s*to\s*work\s*in\b",
+              r"\bauthorized\s*to\s*work\s*in\b", r"\bresidents?\s*(?:of|only)\b", r"\bbased\s*(?:in|out\s*of)\s*(?:europe|the\s*us|the\s*uk|the\s*united)"]
+ON_SPOT = r"\b(?:on[\-\s]?site|in[\-\s]?office|in[\-\s]?person)\s+(?:required|only|position|role)\b"
+ON_SPOT_DAYS = r"\b(?:on[\-\s]?site|in[\-\s]?office|in[\-\s]?person)\s+(?:required|only|position|role|work|days?)\b"
+ON_SPOT_TITLES = [
+    r"\b(?:convention\s*center|warehouse|factory|store|restaurant|clinic|hospital)\b",
+    r"\b(?:car\s*detail|janitor|custodian|forklift|housekeeper|cashier|bartender|barista|dishwasher|cook\b|chef\b|plumber|electrician|mechanic|driver|delivery|caregiver|nurse\b)",
+    r"\b(?:dallas|fort\s*worth|new\s*york|chicago|los\s*angeles|san\s*francisco|houston|atlanta|miami|austin|denver|seattle|boston|portland|phoenix|charlotte|nashville|minneapolis|detroit|philadelphia|tampa|orlando|las\s*vegas|pittsburgh|indianapolis|columbus|raleigh|memphis|richmond|salt\s*lake|sacramento|san\s*diego|san\s*antonio|san\s*jose|terre\s*haute|south\s*oc)\b",
+]
+WORLD_LOCATION = r"\bworldwide\b|\bglobal\b|\bworld\b|\banywhere\b"
+WORLD_TEXT = [r"\banywhere\s*in\s*the\s*world\b", r"\bwork\s*from\s*anywhere\b", r"\blocation\s*agnostic\b", r"\bglobally\s*distributed\b", r"\bfully\s*distributed\b", r"\bremote\s*worldwide\b", r"\bworldwide\s*remote\b",
+              r"\bglobal\s*remote\b", r"\bremote\s*[\-–—]\s*global\b", r"\bno\s*location\s*requirement\b", r"\bopen\s*to\s*(?:all|any)\s*(?:location|countr)", r"\bremote\s*[\-–—]\s*anywhere\b"]
 # Role labels by title, in the order they are tried; without boundaries, as part of a word too.
 ROLE_RULES = [
     (r"software engineer|software developer", "Software Engineer"), (r"frontend|front-end|front end", "Frontend Developer"),
@@ -105,6 +126,18 @@ def is_remote(title: Column, location: Column, workplace: Column, description: C
     )
 
 
+def is_worldwide(title: Column, location: Column, description: Column, remote: Column) -> Column:
+    """Whether a remote posting may be done anywhere: a place in title or location says no, a worldwide location yes, and without a location the description decides."""
+    place = F.trim(F.coalesce(location, F.lit("")))
+    tied = lambda c: found(c, either(*TIED)) | found(c, TIED_CODES, ignore_case=False)
+    return (
+        F.when(~F.coalesce(remote, F.lit(False)), False).when(tied(title), False).when((F.length(place) >= 2) & tied(place), False)
+        .when(found(place, r"\banywhere\s+in\b") & ~found(place, r"\banywhere\s+in\s+the\s+world\b"), False)
+        .when(found(description, ON_SPOT) | found(title, either(*ON_SPOT_TITLES)), False).when(found(place, WORLD_LOCATION), True)
+        .when(F.length(place) < 3, ~found(description, either(*RESTRICTED, ON_SPOT_DAYS)) & found(description, either(*WORLD_TEXT))).otherwise(False)
+    )
+
+
 def role_category(title: Column) -> Column:
     return first_label(F.coalesce(title, F.lit("")), ROLE_RULES, "Other")
 

@@ -40,6 +40,11 @@ POLICIES = {
     "aggregate": Policy(new=("title", "location", "workplace_type", "url"), coalesce=("description",), revive=False),
     "insert_only": Policy(revive=False),
 }
+# The merge policies of organisations, whose key is their career address.
+COMPANY_POLICIES = {
+    "insert_only": Policy(revive=False), "keep_name": Policy(fill=("company_name",), revive=False), "name_and_logo": Policy(coalesce=("company_name", "logo_url"), revive=False),
+    "board": Policy(new=("ats", "ats_slug", "status"), revive=False),
+}
 
 
 def last_of_key(snapshot: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
@@ -90,7 +95,8 @@ def merge(
         else:
             value = F.when(fresh, now).otherwise(old)
         out.append(value.alias(c))
-    action = F.when(fresh, "inserted").when(hit & F.col(removed).isNotNull() & F.lit(policy.revive), "revived").when(hit, "updated").otherwise("kept")
+    gone = F.col(removed).isNotNull() if removed in stored.columns else F.lit(False)
+    action = F.when(fresh, "inserted").when(hit & gone & F.lit(policy.revive), "revived").when(hit, "updated").otherwise("kept")
     return both.select(*out, action.alias("_action"))
 
 

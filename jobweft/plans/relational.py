@@ -289,6 +289,11 @@ def classify_remote(spark, sf):
     return jobs(spark, sf).select("id", classify.is_remote(F.col("title"), F.col("location"), F.col("workplace_type"), F.col("description")).alias("remote"))
 
 
+def classify_worldwide(spark, sf):
+    c = F.col
+    return jobs(spark, sf).select("id", classify.is_worldwide(c("title"), c("location"), c("description"), classify.is_remote(c("title"), c("location"), c("workplace_type"), c("description"))).alias("worldwide"))
+
+
 def classify_role(spark, sf):
     return jobs(spark, sf).select("id", classify.role_category(F.col("title")).alias("role"))
 
@@ -445,6 +450,12 @@ _LEVEL = f"""CASE WHEN {sql_found('title', either(*classify.LEVEL_INTERNSHIP))}
 _REMOTE = f"""CASE WHEN lower(coalesce(workplace_type, '')) IN ('remote', 'fully remote', 'fully_remote') THEN true WHEN lower(coalesce(workplace_type, '')) IN ('hybrid', 'on-site', 'onsite', 'in-office') THEN false
   WHEN {sql_found(_TEXT, either(*classify.REMOTE_NO))} THEN false WHEN {sql_found('title', r'\bremote\b')} THEN true WHEN {sql_found('location', r'\bremote\b')} AND NOT {sql_found('location', 'hybrid')} THEN true
   WHEN {sql_found('location', classify.REMOTE_EVERYWHERE)} THEN true ELSE {sql_found(_TEXT, either(*classify.REMOTE_YES))} END"""
+_TIED = lambda e: f"({sql_found(e, either(*classify.TIED))} OR regexp_matches(coalesce({e}, ''), '{classify.TIED_CODES}'))"
+_PLACE = "trim(coalesce(location, ''))"
+_WORLD = f"""CASE WHEN NOT ({_REMOTE}) THEN false WHEN {_TIED('title')} THEN false WHEN length({_PLACE}) >= 2 AND {_TIED(_PLACE)} THEN false
+  WHEN {sql_found(_PLACE, r'\banywhere\s+in\b')} AND NOT {sql_found(_PLACE, r'\banywhere\s+in\s+the\s+world\b')} THEN false
+  WHEN {sql_found('description', classify.ON_SPOT)} OR {sql_found('title', either(*classify.ON_SPOT_TITLES))} THEN false WHEN {sql_found(_PLACE, classify.WORLD_LOCATION)} THEN true
+  WHEN length({_PLACE}) < 3 THEN NOT {sql_found('description', either(*classify.RESTRICTED, classify.ON_SPOT_DAYS))} AND {sql_found('description', either(*classify.WORLD_TEXT))} ELSE false END"""
 _WORKTEXT = f"""CASE WHEN {sql_found(_TEXT, classify.TEXT_REMOTE)} THEN CASE WHEN {sql_found(_TEXT, r'\bhybrid\b')} THEN 'hybrid' ELSE 'remote' END
   WHEN {sql_found(_TEXT, classify.TEXT_HYBRID)} THEN 'hybrid' WHEN {sql_found(_TEXT, classify.TEXT_ONSITE)} THEN 'onsite' END"""
 _TOP = "h.id, h.title, h.location, h.ats, h.workplace, h.employment, h.created_at, h.company_id, c.company_name"
@@ -465,7 +476,7 @@ QUERIES = {
         search_topk, search_city, search_capped_count, search_meta, facets, facets_filtered, directory_counts, profile_left_on, company_count, two_key_count, semi_live, anti_processed, shared_domain,
         unique_key_join, dup_key_groups, cascade_match, prefix_fuzzy, nearest_preceding, domain_survivors, dedup_overlap, param_grid, completeness, absence_histogram, age_buckets, retention,
         modulo_partition, keyset_page, prune_candidates, fair_interleave, last_wins, first_wins, percentile_floor, absence_streaks, demand_rollup, demand_top, sync_metrics, absence_counts,
-        change_capture, outbox_add, outbox_delete, dim_fanout, replicate_delta, normalise_types, types_in_text, classify_remote, classify_role, classify_level, salary_extract, location_tokens,
+        change_capture, outbox_add, outbox_delete, dim_fanout, replicate_delta, normalise_types, types_in_text, classify_remote, classify_worldwide, classify_role, classify_level, salary_extract, location_tokens,
         countries, search_region, slug_candidates, board_addresses, company_collapse, employer_variants, strip_html, quality_gate, url_parts, json_path, index_documents)
 } | {f"merge_{name}": merged(name) for name in POLICIES}
 
@@ -532,6 +543,7 @@ SQL = {
     "normalise_types": f"SELECT id, {EMP} AS employment, {WORK} AS workplace FROM {JD} j",
     "types_in_text": f"SELECT id, {_WORKTEXT} AS workplace, {sql_first_label('concat_ws(' + chr(39) + ' ' + chr(39) + ', coalesce(title, ' + chr(39) * 2 + '), coalesce(description, ' + chr(39) * 2 + '))', classify.TEXT_EMPLOYMENT, None)} AS employment FROM {JD} j",
     "classify_remote": f"SELECT id, {_REMOTE} AS remote FROM {JD} j",
+    "classify_worldwide": f"SELECT id, {_WORLD} AS worldwide FROM {JD} j",
     "classify_role": f"SELECT id, {sql_first_label('title', classify.ROLE_RULES, 'Other')} AS role FROM {JD} j",
     "classify_level": f"SELECT id, {_LEVEL} AS level FROM {JD} j",
     "location_tokens": f"SELECT id, unnest({TOKENS}) AS token FROM {JD} j WHERE location IS NOT NULL",

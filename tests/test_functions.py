@@ -60,3 +60,10 @@ def test_text_functions(spark):
 def test_filter_lists():
     assert listed(" a, A ,b,,") == ["a", "b"] and listed(None) == []
     assert Filters(employment_type="nonsense").condition() is not None
+
+
+@pytest.mark.parametrize(("title", "location", "description", "want"), [
+    ("Engineer", "Worldwide", None, True), ("Engineer", "Anywhere in Europe", None, False), ("Engineer", "anywhere in the world", None, True), ("Engineer - US", "Anywhere", None, False), ("Engineer", "Anywhere us", None, False),
+    ("Driver", "Anywhere", None, False), ("Engineer", None, "Work from anywhere you like", True), ("Engineer", None, "work from anywhere, must be based in Peru", False), ("Engineer", "Lima", "work from anywhere", False), ("Engineer", None, None, False)])
+def test_worldwide(spark, title, location, description, want):
+    assert one(spark, classify.is_worldwide(F.col("a"), F.col("b"), F.col("c"), F.lit(True)), a=title, b=location, c=description) is want

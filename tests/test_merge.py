@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from jobweft.operators.merge import POLICIES, absence, merge, sync_counts
+from jobweft.operators.merge import COMPANY_POLICIES, POLICIES, absence, merge, sync_counts
 
 STORED = "id bigint, company_id bigint, external_id string, title string, description string, salary_min string, visa_sponsorship string, experience_level string, removed_at timestamp_ntz, absent_syncs int, last_seen_at timestamp_ntz"
 SNAP = "company_id bigint, external_id string, title string, description string, salary_min string, visa_sponsorship string, experience_level string, seq int"
@@ -67,3 +67,13 @@ def test_absence(spark, armed, partial, torn, want):
     n = snap(spark, ("b", "t", None, None, None, None), *([(None, "t", None, None, None, None)] if torn else []))
     got = by_key(absence(s, n, armed=armed, partial=partial, as_of=now()))
     assert (got["a"]["absent_syncs"], got["a"]["removed_at"]) == want and got["b"]["absent_syncs"] == 0
+
+
+@pytest.mark.parametrize(("policy", "want"), [("insert_only", ("Old", "lever")), ("keep_name", ("Old", "lever")), ("name_and_logo", ("New", "lever")), ("board", ("Old", "ashby"))])
+def test_company_policies(spark, policy, want):
+    schema = "career_url string, company_name string, logo_url string, ats string, ats_slug string, status string"
+    have = spark.createDataFrame([("u", "Old", None, "lever", "s", "active"), ("n", None, None, "lever", "n", "active")], schema)
+    new = spark.createDataFrame([("u", "New", "l", "ashby", "t", "pending"), ("v", "V", None, "ashby", "v", "pending"), ("n", "Named", None, "lever", "n", "active")], schema)
+    got = {r["career_url"]: r for r in merge(have, new, COMPANY_POLICIES[policy], keys=("career_url",)).collect()}
+    assert (got["u"]["company_name"], got["u"]["ats"]) == want and got["v"]["_action"] == "inserted" and set(got) == {"u", "v", "n"}
+    assert got["n"]["company_name"] == (None if policy in ("insert_only", "board") else "Named")
