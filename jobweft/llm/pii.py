@@ -23,15 +23,12 @@ from jobweft.session import ship
 
 # Given names, as an open list to which the caller can add.
 GIVEN_NAMES = """
-adam adrian agnes aisha alan albert alejandro alexander ali alice amara amelia amina amir amy ana anders andrea andrew angela anita anna anne antonio arjun astrid
-bianca boris brian bruno camila carla carlos carmen caroline catherine chloe chris christian clara claire daniel dario david deepa diana diego dmitri dora edward
-elena elias elif elisa emeka emil emily emma eric erik eva fatima felix fernando fiona francesca frank freya gabriel george giulia greta hamza hanna hannah harry
-hassan heidi helen henry hiroshi hugo ibrahim igor ines ingrid irene isabel ivan jack jacob james jamal jan jane javier jean jens jessica joan johan john jonas
-jorge jose joseph juan julia julian karen karim karl kate katja kenji kevin kofi kwame lars laura lea leila lena leo linda lisa louis lucas lucia lucy luis luka
-magnus maja marco marek maria marie mario mark marta martin mary mateo matthew maya mehmet mei michael miguel mina mohammed monica nadia natasha nicole nina noah
-noor olga oliver olivia omar oscar owen pablo patricia paul pavel pedro peter philip pierre priya rachel rafael rahul ravi rebecca robert roberto rosa ruth samir
-samuel sandra sanjay sara sarah sebastian sergei simon sofia sophie stefan stella susan sven tanja tariq teresa thomas tomas umar ursula vera victor viktor
-vincent wei william xavier yara yasmin yuki yusuf zara zoe
+adam aisha albert alexander ali alice amara amelia amy ana anders andrea anita anna anne bianca carlos carmen catherine chloe chris christian clara claire
+daniel dario david diana diego elena elisa emeka emil emily emma eva fatima felix fernando frank freya gabriel greta hanna hannah harry hassan henry hiroshi
+hugo ibrahim igor ines ingrid ivan jack jacob james jan jane javier jean jens jessica johan john jonas jorge jose juan julia julian karen karim karl kofi laura
+leila lena leo lisa louis lucas lucia lucy luis marco marek maria marie mark marta martin mary mateo matthew maya mehmet mei michael miguel mina mohammed nadia
+noor olga oliver omar oscar owen pablo paul pedro peter pierre priya rachel rafael rahul ravi rebecca robert roberto samir samuel sandra sanjay sara sarah
+sebastian simon sofia sophie stefan stella susan tanja tariq teresa thomas tomas umar vera victor viktor vincent william xavier yasmin yuki yusuf zara zoe
 """.split()
 # Words before a comma that are greetings and closings, not family names.
 NOT_FAMILY = set("""
