@@ -17,10 +17,15 @@ from jobweft.schemas import BOARD_ALIASES, SNAPSHOT_FIELDS, SUPPORTED_BOARDS
 
 @dataclass(frozen=True)
 class Feed:
-    """``shape`` is the DDL of one posting; ``root`` the path to their array, empty if the payload is the array; ``values`` reads an object's values."""
+    """``shape`` is the DDL of one posting; ``root`` the field of their array, empty if the payload is the array; ``inner`` that of arrays within it.
+
+    ``values`` reads an object's values. ``pay`` is an expression of a free-text pay note that gives the salary fields.
+    """
 
     shape: str
     root: str = ""
+    inner: str = ""
+    pay: str = ""
     values: bool = False
     fields: dict[str, str] = field(default_factory=dict)
     where: str = "external_id IS NOT NULL"
@@ -104,6 +109,26 @@ FEEDS = {
         "JobId string, JobTitle string, HiringDepartment string, LocationName string, JobLocation struct<City:string,State:string>, IsRemote boolean, PublishedDate string", "Jobs",
         fields={"external_id": "'paylocity_' || j.JobId", "title": "j.JobTitle", "department": "j.HiringDepartment", "location": f"coalesce({_place('j.JobLocation.City', 'j.JobLocation.State')}, j.LocationName)",
                 "workplace_type": "if(j.IsRemote, 'remote', null)", "posted_at": "j.PublishedDate"}),
+    "breezy": Feed(
+        "id string, friendly_id string, name string, department string, location struct<name:string,city:string,is_remote:boolean>, type struct<name:string>, salary string, url string, published_date string", pay="j.salary",
+        fields={"external_id": "'breezy_' || coalesce(j.id, j.friendly_id)", "title": "j.name", "department": "j.department", "location": "coalesce(nullif(j.location.name, ''), j.location.city)",
+                "workplace_type": "if(j.location.is_remote, 'remote', null)", "employment_type": "j.type.name", "url": "coalesce(j.url, concat('https://', slug, '.breezy.hr/p/', j.friendly_id))", "posted_at": "j.published_date"}),
+    "workday": Feed(
+        "title string, externalPath string, locationsText string, postedOn string, bulletFields array<string>", "jobPostings",
+        fields={"external_id": "'workday_' || coalesce(try_element_at(j.bulletFields, 1), j.externalPath)", "title": "j.title", "location": "j.locationsText",
+                "url": "concat('https://', split_part(slug, '/', 1), '.myworkdayjobs.com/', split_part(slug, '/', 2), j.externalPath)"}),
+    "oracle": Feed(
+        "Id string, Title string, PrimaryLocation string, secondaryLocations array<struct<Name:string>>, WorkplaceType string, JobSchedule string, ShortDescriptionStr string, PostedDate string", "items", "requisitionList",
+        fields={"external_id": "'oracle_' || j.Id", "title": "j.Title", "location": "nullif(array_join(array_distinct(array_compact(concat(array(j.PrimaryLocation), coalesce(j.secondaryLocations.Name, array())))), '; '), '')",
+                "workplace_type": "j.WorkplaceType", "employment_type": "j.JobSchedule", "description": "j.ShortDescriptionStr", "posted_at": "j.PostedDate"}),
+    "amazon": Feed(
+        "id_icims string, id string, title string, job_category string, business_category string, normalized_location string, location string, job_schedule_type string, description string, job_path string, posted_date string", "jobs",
+        fields={"external_id": "'amazon_' || coalesce(j.id_icims, j.id)", "title": "nullif(trim(j.title), '')", "department": "coalesce(nullif(j.job_category, ''), nullif(j.business_category, ''))",
+                "location": "coalesce(nullif(j.normalized_location, ''), j.location)", "employment_type": "j.job_schedule_type", "description": "j.description", "url": "concat('https://www.amazon.jobs', j.job_path)", "posted_at": "j.posted_date"}),
+    "netflix": Feed(
+        "id string, name string, department string, business_unit string, location string, locations array<string>, job_description string, canonicalPositionUrl string, t_create string, t_update string", "positions",
+        fields={"external_id": "'netflix_' || j.id", "title": "nullif(trim(j.name), '')", "department": "coalesce(nullif(j.department, ''), j.business_unit)", "location": "coalesce(nullif(array_join(j.locations, '; '), ''), j.location)",
+                "description": "j.job_description", "url": "j.canonicalPositionUrl", "posted_at": "coalesce(j.t_create, j.t_update)"}),
 }
 #: Where a page holds its postings as an object of JavaScript.
 EMBEDDED = {"paylocity": r"window\.pageData\s*=\s*(\{[\s\S]*?\});\s*</script>"}
@@ -121,7 +146,9 @@ def parse_feed(df: DataFrame, feed: str, *, slug: str = "slug", payload: str = "
     """Snapshot rows (slug and the snapshot fields) of landed payloads. A payload that isn't the feed's JSON gives no row."""
     f = FEEDS[feed]
     text = F.regexp_extract(F.col(payload), EMBEDDED[feed], 1) if feed in EMBEDDED else F.col(payload)
-    if f.values:
+    if f.inner:
+        items = F.flatten(F.from_json(text, f"{f.root} array<struct<{f.inner}: array<struct<{_struct(f.shape)}>>>>")[f.root][f.inner])
+    elif f.values:
         items = F.map_values(F.from_json(text, f"map<string, struct<{_struct(f.shape)}>>"))
     elif f.root:
         items = F.from_json(text, f"{f.root} array<struct<{_struct(f.shape)}>>")[f.root]
@@ -129,7 +156,12 @@ def parse_feed(df: DataFrame, feed: str, *, slug: str = "slug", payload: str = "
         items = F.from_json(text, f"array<struct<{_struct(f.shape)}>>")
     rows = df.select(F.col(slug).alias("slug"), F.explode(items).alias("j"))
     fields = [F.expr(f.fields[n]).cast("string").alias(n) if n in f.fields else F.to_json("j").alias(n) if n == "raw_data" else F.lit(None).cast("string").alias(n) for n in SNAPSHOT_FIELDS]
-    return rows.select("slug", *fields).where(f.where)
+    out = rows.select("slug", *fields, *([F.expr(f.pay).alias("_pay")] if f.pay else [])).where(f.where)
+    if f.pay:
+        pay = free_text_pay(F.col("_pay"))
+        whole = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+        out = out.withColumns({"salary_min": whole(pay["low"]), "salary_max": whole(pay["high"]), "salary_currency": pay["currency"], "salary_interval": pay["interval"]}).drop("_pay")
+    return out
 
 
 def _struct(ddl: str) -> str:

@@ -41,6 +41,19 @@ def test_json_feeds(spark):
     assert (r["location"], r["workplace_type"]) == ("X", "remote")
 
 
+def test_more_json_feeds(spark):
+    [r] = parsed(spark, "breezy", [{"friendly_id": "f", "name": "T", "location": {"name": "", "city": "C", "is_remote": True}, "salary": "$90k - $120,000 / year"}])
+    assert (r["external_id"], r["location"], r["workplace_type"], r["salary_min"], r["salary_max"], r["salary_interval"]) == ("breezy_f", "C", "remote", "90000", "120000", "year")
+    [r] = parsed(spark, "workday", {"jobPostings": [{"title": "T", "externalPath": "/job/X", "locationsText": "L", "bulletFields": ["R-1"]}]}, slug="acme.wd5/Site")
+    assert (r["external_id"], r["url"]) == ("workday_R-1", "https://acme.wd5.myworkdayjobs.com/Site/job/X")
+    rows = parsed(spark, "oracle", {"items": [{"requisitionList": [{"Id": 1, "Title": "T", "PrimaryLocation": "A", "secondaryLocations": [{"Name": "B"}, {"Name": "A"}]}]}, {"requisitionList": [{"Id": 2, "Title": "U"}]}]})
+    assert sorted((r["external_id"], r["location"]) for r in rows) == [("oracle_1", "A; B"), ("oracle_2", None)]
+    [r] = parsed(spark, "amazon", {"jobs": [{"id_icims": "9", "title": " T ", "business_category": "b", "location": "L", "job_path": "/en/jobs/9"}]})
+    assert (r["title"], r["department"], r["url"]) == ("T", "b", "https://www.amazon.jobs/en/jobs/9")
+    [r] = parsed(spark, "netflix", {"positions": [{"id": 3, "name": "N", "locations": ["A", "B"], "t_create": 1706858586}]})
+    assert (r["location"], r["posted_at"]) == ("A; B", "1706858586")
+
+
 def test_xml_feeds(spark):
     rss = "<rss><item><guid>g</guid><title><![CDATA[A & B]]></title><link>l</link><remoteStatus>fully</remoteStatus><tt:city>C</tt:city><tt:country>K</tt:country></item><item><title>no guid</title></item></rss>"
     [r] = feeds.parse_rss(spark.createDataFrame([("s", rss)], "slug string, payload string")).collect()
