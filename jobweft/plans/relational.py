@@ -461,6 +461,32 @@ _WORKTEXT = f"""CASE WHEN {sql_found(_TEXT, classify.TEXT_REMOTE)} THEN CASE WHE
 _TOP = "h.id, h.title, h.location, h.ats, h.workplace, h.employment, h.created_at, h.company_id, c.company_name"
 
 
+def _salary_sql(t: str) -> str:
+    tries = []
+    codes = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**salary.CURRENCIES, **{c: c for c in salary.KNOWN_CODES}}.items())
+    for shape, low, high, currency, thousands, interval in salary.SHAPES:
+        part = lambda i, p=shape: f"regexp_extract({t}, '{p}', {i})"
+        number = lambda i: f"TRY_CAST(replace({part(i)}, ',', '') AS DOUBLE)"  # noqa: E731, B023
+        k_low = f"CASE WHEN {part(thousands[0])} <> '' THEN 1000 ELSE 1 END" if thousands else "1"
+        k_high = f"CASE WHEN {part(thousands[1])} <> '' OR {part(thousands[0])} <> '' THEN 1000 ELSE 1 END" if thousands else "1"
+        at = f"strpos({t}, {part(0)})"
+        around = f"lower(substring({t}, greatest({at} - 60, 1), length({part(0)}) + least({at} - 1, 60) + 80))"
+        period = f"'{interval}'" if interval else "CASE " + " ".join(f"WHEN regexp_matches({around}, '{p}') THEN '{v}'" for p, v in salary.PERIODS) + " ELSE 'yearly' END"
+        code = f"coalesce(CASE upper(coalesce({', '.join(f'nullif({part(i)}, {chr(39) * 2})' for i in currency)})) {codes} END, 'USD')"
+        tries.append(f"{{'low': {number(low)} * {k_low}, 'high': {number(high)} * {k_high}, 'currency': {code}, 'interval': {period}}}")
+    floors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in salary.FLOORS.items())
+    return f"list_filter([{', '.join(tries)}], lambda x: x.low IS NOT NULL AND x.low <= x.high AND x.high <= {salary.CEILING} AND x.low >= CASE x.interval {floors} END)[1]"
+
+
+_SALARY_TEXT = "concat_ws(' ', 'Salary:', salary_min, '-', salary_max, description)"
+_LABELS = r"list_filter(string_split(regexp_replace(regexp_replace(lower(domain), '^https?://', ''), '/.*$', ''), '.'), lambda p: p <> '' AND p <> 'www')"
+_SLUG_NAME = rf"trim(regexp_replace(lower(company_name), '\b(?:{names.LEGAL_FORMS})\b', ' ', 'g'))"
+_SLUGS = f"""[regexp_replace(CASE WHEN len({_LABELS}) = 1 THEN {_LABELS}[1] WHEN {_LABELS}[len({_LABELS}) - 1] IN ('co', 'com') THEN {_LABELS}[len({_LABELS}) - 2] ELSE {_LABELS}[len({_LABELS}) - 1] END, '[^a-z0-9-]', '', 'g'),
+  regexp_replace({_SLUG_NAME}, '[^a-z0-9]', '', 'g'), regexp_replace(regexp_replace({_SLUG_NAME}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')]"""
+_NO_SLUGS = ", ".join(f"'{x}'" for x in names.NO_SLUGS)
+_INITIALS = r"array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(longest), '[^a-z0-9 ]+', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('and', 'of', 'the', 'for', 'a', 'an')), lambda w: left(w, 1)), '')"
+
+
 def _facets_sql(condition: str) -> str:
     parts = " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM p" for f in ("ats", "workplace", "employment", "experience_level"))
     return f"WITH p AS (SELECT * FROM {PREPARED} WHERE {condition}) SELECT facet, value, count(*) AS n FROM ({parts}) WHERE value IS NOT NULL AND value <> '' GROUP BY ALL"
@@ -543,6 +569,11 @@ SQL = {
     "normalise_types": f"SELECT id, {EMP} AS employment, {WORK} AS workplace FROM {JD} j",
     "types_in_text": f"SELECT id, {_WORKTEXT} AS workplace, {sql_first_label('concat_ws(' + chr(39) + ' ' + chr(39) + ', coalesce(title, ' + chr(39) * 2 + '), coalesce(description, ' + chr(39) * 2 + '))', classify.TEXT_EMPLOYMENT, None)} AS employment FROM {JD} j",
     "classify_remote": f"SELECT id, {_REMOTE} AS remote FROM {JD} j",
+    "salary_extract": f"SELECT id, s.low, s.high, s.currency, s.interval FROM (SELECT id, {_salary_sql('t')} AS s FROM (SELECT id, {_SALARY_TEXT} AS t FROM {JD} j)) WHERE s IS NOT NULL",
+    "slug_candidates": f"SELECT DISTINCT id, slug FROM (SELECT id, unnest({_SLUGS}) AS slug FROM {CD} c) WHERE length(slug) BETWEEN 3 AND 40 AND NOT regexp_matches(slug, '^\\d+$') AND slug NOT IN ({_NO_SLUGS})",
+    "employer_variants": f"""WITH c AS (SELECT DISTINCT {CLEAN} AS site, company_name AS name, {FLAT} AS core FROM {CD} x WHERE {CLEAN} IS NOT NULL AND NOT ({CLEAN} LIKE '%jobs.example') AND {FLAT} <> ''),
+      e AS (SELECT site, count(*) AS n, first(core ORDER BY length(core), core) AS shortest, first(name ORDER BY length(name) DESC, name DESC) AS longest FROM c GROUP BY 1 HAVING count(*) > 1)
+      SELECT site, n, bool_and(length(shortest) >= 2 AND (contains(core, shortest) OR contains(shortest, core) OR (length(shortest) BETWEEN 2 AND 6 AND length({_INITIALS}) >= 2 AND starts_with({_INITIALS}, shortest)))) AS one FROM c JOIN e USING (site) GROUP BY 1, 2""",
     "classify_worldwide": f"SELECT id, {_WORLD} AS worldwide FROM {JD} j",
     "classify_role": f"SELECT id, {sql_first_label('title', classify.ROLE_RULES, 'Other')} AS role FROM {JD} j",
     "classify_level": f"SELECT id, {_LEVEL} AS level FROM {JD} j",

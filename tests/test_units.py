@@ -62,3 +62,46 @@ def test_empty(spark):
     assert pay_per_year(spark.createDataFrame([(1, "5", None, "USD", "yearly", "")], SCHEMA), units.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pay_per_year(spark.createDataFrame([], SCHEMA), units, max_units=3)
+
+
+def test_round_trip_of_generated_statements(spark):
+    """Amounts written in many ways come back as the exact product, rounded half up."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(11)
+    factors = {c: Decimal(str(f)) for k, c, f in UNITS if k == "currency"}
+    periods = {c: Decimal(str(f)) for k, c, f in UNITS if k == "interval"}
+    named = {"USD": ["$", "US$", "usd ", "US Dollar "], "EUR": ["€", "EUR ", "Euros "], "GBP": ["£", "gbp ", "Pound Sterling "], "CAD": ["C$", "CA$", "CAD "], "INR": ["₹", "Rs.", "INR "], "CHF": ["Fr.", "chf "], "JPY": ["JP¥", "jpy "]}
+    spelled = {"yearly": ["p.a.", " per annum", "/yr", " annually"], "monthly": ["/mo", " per month", " pro Monat"], "hourly": ["/hr", " an hour", " hourly"], "daily": ["/day", " per diem"], "weekly": [" per week", "/wk"]}
+
+    def written(n: Decimal) -> str:
+        whole, _, cents = f"{n:f}".partition(".")
+        if cents:
+            return f"{whole}{rng.choice('.,')}{cents}"
+        if n >= 1000 and n % 100 == 0 and rng.random() < 0.3:
+            return f"{n / 1000:f}" + rng.choice("kK")
+        mark = rng.choice(["", ",", ".", " ", " ", " ", "'", "’"])
+        return f"{int(whole):,}".replace(",", mark)
+
+    rows, want = [], {}
+    for i in range(400):
+        cur, per = rng.choice(list(named)), rng.choice(list(spelled))
+        low = Decimal(rng.randint(20, 90_000)) if rng.random() < 0.6 else Decimal(rng.randint(1000, 9900)) / 100
+        high = low + rng.randint(0, 50)
+        if low != int(low):
+            high = low
+        in_text_c, in_text_p, as_range = rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.3
+        one = lambda n: (rng.choice(named[cur]) if in_text_c else "") + written(n)  # noqa: E731, B023
+        tail = rng.choice(spelled[per]) if in_text_p else ""
+        if as_range:
+            fields = (one(low) + rng.choice([" - ", "–", " to "]) + one(high) + tail, None)
+        else:
+            fields = (one(low) + tail, one(high) + tail)
+        rows.append((i, *fields, None if in_text_c else cur, None if in_text_p else per, ""))
+        for b, n in (("min", low), ("max", high)):
+            want[i, b] = int((n * factors[cur] * periods[per]).quantize(Decimal(1), ROUND_HALF_UP))
+    units = spark.createDataFrame(UNITS, "unit_type string, unit_code string, factor double")
+    got = {(r["id"], r["bound"]): r["usd_year"] for r in pay_per_year(spark.createDataFrame(rows, SCHEMA), units).collect()}
+    wrong = {k: (got.get(k), v, rows[k[0]]) for k, v in want.items() if got.get(k) != v}
+    assert not wrong, list(wrong.items())[:5]
