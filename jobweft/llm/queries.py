@@ -10,6 +10,7 @@ from jobweft.llm.leakage import leaked_items, leaked_passages
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from jobweft.llm.packing import pack_summary, pack_texts
 from jobweft.llm.pii import find_personal, redact_personal
+from jobweft.llm.sql import SQL
 from jobweft.session import table
 
 
@@ -58,4 +59,4 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_packed": p8_packed, "p8_summary": p8_summary, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

@@ -25,3 +25,16 @@ def test_runs_with_distinct_rows(spark, name):
 
 def test_names():
     assert set(SQL) <= set(QUERIES) and set(COLUMNS) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("jobs", "documents", "eval_items"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    df = QUERIES[name](spark, DATA)
+    result = con.execute(SQL[name])
+    assert [d[0] for d in result.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, result.fetchall()))
