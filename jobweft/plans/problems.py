@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweft.operators.skew import keys_with_share, salted_aggregate
 from jobweft.operators.snapshots import snapshot_changes, stripped
-from jobweft.operators.timestamps import utc_instants
+from jobweft.operators.timestamps import MONTHS, SHAPES, ZONE_OFFSETS, utc_instants
 from jobweft.operators.units import pay_per_year
 from jobweft.session import table
 
@@ -99,10 +99,42 @@ SELECT coalesce(a.cur, b.cur) AS snapshot_no, coalesce(a.company_id, b.company_i
 FROM a FULL JOIN b ON a.cur = b.cur AND a.company_id = b.company_id AND a.external_id = b.external_id
 WHERE a.cur IS NULL OR b.cur IS NULL OR (a.title, a.department, a.location, a.workplace_type, a.employment_type) IS DISTINCT FROM (b.title, b.department, b.location, b.workplace_type, b.employment_type)
 """
+
+
+def _times_sql() -> str:
+    """The reading of timestamps in SQL, with the zone rules of DuckDB's own library."""
+    text = f"lower(regexp_replace(regexp_replace(text, '{_B}+', ' ', 'g'), '^ | $', '', 'g'))"
+    for pattern, line in SHAPES:
+        shape = pattern.replace("(?![a-z])", "").replace("'", "''")
+        text = f"regexp_replace({text}, '{shape}', '{line.replace('$', chr(92))}')"
+    months = ", ".join(f"'{k}': {v}" for k, v in MONTHS.items())
+    offsets = ", ".join(f"'{k}': {v}" for k, v in ZONE_OFFSETS.items())
+    part = lambda i: f"nullif(f[{i + 1}], '')"
+    return f"""
+      WITH a AS (SELECT lower(trim(ats)) AS ats, time_zone, day_first FROM ats_sources),
+      v AS (SELECT j.id, 'posted_at' AS field_name, j.posted_at AS text, coalesce(a.time_zone, 'UTC') AS zone, coalesce(a.day_first, false) AS day_first FROM jobs j LEFT JOIN a ON {_ATS.replace('ats,', 'j.ats,')} = a.ats
+            UNION SELECT j.id, 'first_seen_at', j.first_seen_at, 'UTC', coalesce(a.day_first, false) FROM jobs j LEFT JOIN a ON {_ATS.replace('ats,', 'j.ats,')} = a.ats),
+      c AS (SELECT id, field_name, zone, day_first, string_split({text}, '|') AS f FROM v WHERE text IS NOT NULL),
+      p AS (SELECT id, field_name, zone, f[1] AS kind, {part(1)} AS head, CASE WHEN f[1] = 'slash' AND day_first THEN {part(3)} ELSE {part(2)} END AS m, TRY_CAST(CASE WHEN f[1] = 'slash' AND day_first THEN {part(2)} ELSE {part(3)} END AS INTEGER) AS d,
+              TRY_CAST({part(4)} AS INTEGER) AS h, coalesce(TRY_CAST({part(5)} AS INTEGER), 0) AS mi, coalesce(TRY_CAST({part(6)} AS INTEGER), 0) AS s, coalesce({part(7)}, '') AS frac, {part(8)} AS half, {part(9)} AS z FROM c WHERE len(f) = 10),
+      q AS (SELECT *, coalesce(TRY_CAST(m AS INTEGER), map {{{months}}}[left(m, 3)]) AS mon, CASE WHEN half IS NULL THEN h WHEN h BETWEEN 1 AND 12 THEN h % 12 + CASE WHEN half = 'p' THEN 12 ELSE 0 END END AS h24,
+              CASE WHEN regexp_matches(z, '^(?:gmt|utc)?[+-]\\d{{2}}:?(?:\\d{{2}})?$') THEN (CAST(regexp_extract(z, '[+-](\\d{{2}})', 1) AS INTEGER) * 3600 + coalesce(TRY_CAST(regexp_extract(z, '[+-]\\d{{2}}:?(\\d{{2}})$', 1) AS INTEGER), 0) * 60) * CASE WHEN contains(z, '-') THEN -1 ELSE 1 END
+                ELSE map {{{offsets}}}[z] END AS off, CAST(rpad(left(frac, 6), 6, '0') AS BIGINT) AS us FROM p),
+      r AS (SELECT *, CASE WHEN kind <> 'epoch' AND (h IS NULL OR (h24 BETWEEN 0 AND 23 AND mi < 60 AND s < 60)) AND (z IS NULL OR abs(off) <= 50400)
+              THEN epoch_us(CAST(TRY_CAST(printf('%04d-%02d-%02d', TRY_CAST(head AS INTEGER), mon, d) AS DATE) AS TIMESTAMP)) + (coalesce(h24, 0) * 3600 + mi * 60 + s) * CAST(1000000 AS BIGINT) END AS loc,
+              CASE WHEN kind = 'epoch' THEN TRY_CAST(head AS BIGINT) END AS n FROM q),
+      t AS (SELECT *, CASE WHEN loc IS NOT NULL AND off IS NULL THEN timezone(zone, make_timestamp(loc)) END AS late FROM r)
+      SELECT DISTINCT id, field_name, CASE WHEN n IS NOT NULL THEN CASE WHEN n < 100000000000 THEN n * 1000000 + us ELSE n * 1000 + CAST(rpad(left(frac, 3), 3, '0') AS BIGINT) END
+          WHEN off IS NOT NULL THEN loc - off * CAST(1000000 AS BIGINT) + us
+          WHEN timezone(zone, late - INTERVAL 1 HOUR) = make_timestamp(loc) THEN epoch_us(late) - 3600000000 + us ELSE epoch_us(late) + us END AS utc_micros
+      FROM t WHERE n IS NOT NULL OR loc IS NOT NULL"""
+
+
 _ATS = f"lower(regexp_replace(ats, '^{_B}+|{_B}+$', '', 'g'))"
 SQL = {
     "p1_found": _P1,
     "p1_counts": f"SELECT snapshot_no, change_type, count(*) AS n FROM ({_P1}) GROUP BY ALL",
+    "p3_found": _times_sql(),
     "p4_found": f"""
       WITH t AS (SELECT count(DISTINCT id) AS total FROM jobs)
       SELECT 'company_id' AS field_name, CAST(company_id AS VARCHAR) AS key_text FROM jobs, t WHERE company_id IS NOT NULL GROUP BY company_id, total HAVING count(DISTINCT id) >= total * 0.05
