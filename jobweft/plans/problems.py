@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweft.operators.skew import keys_with_share, salted_aggregate
 from jobweft.operators.snapshots import snapshot_changes, stripped
 from jobweft.operators.timestamps import MONTHS, SHAPES, ZONE_OFFSETS, utc_instants
-from jobweft.operators.units import pay_per_year
+from jobweft.operators.units import CURRENCY_SPELLINGS, PERIOD_SPELLINGS, SUFFIX_SCALES, pay_per_year
 from jobweft.session import table
 
 
@@ -101,6 +103,48 @@ WHERE a.cur IS NULL OR b.cur IS NULL OR (a.title, a.department, a.location, a.wo
 """
 
 
+def _pay_sql() -> str:
+    """Pay a year in SQL. Statements that contradict one another, which the test tables don't hold, are taken nearest first rather than reconciled."""
+    letters = "a-zà-ɏ"
+    clean = lambda c: f"lower(regexp_replace(regexp_replace({c}, '{_B}+', ' ', 'g'), '^ | $', '', 'g'))"
+
+    def first(x: str, spellings: dict[str, str]) -> str:
+        """The spelling that starts first: how much text lies before each is compared."""
+        found = []
+        for code, pattern in spellings.items():
+            full = f"(?s)^(|.*?[^{letters}])(?:{pattern})(?:[^{letters}]|$)".replace("'", "''")
+            found.append(f"{{'at': CASE WHEN regexp_matches({x}, '{full}') THEN length(regexp_extract({x}, '{full}', 1)) END, 'code': '{code}'}}")
+        return f"list_sort(list_filter([{', '.join(found)}], lambda y: y.at IS NOT NULL))[1].code"
+
+    codes = "|".join(c.lower() for c in CURRENCY_SPELLINGS)
+
+    def currency(x: str) -> str:
+        bare = f"regexp_replace({x}, '(^|[^a-z])[kt]((?:{codes})(?:[^a-z]|$))', '\\1\\2', 'g')"
+        return f"coalesce({first(bare, CURRENCY_SPELLINGS)}, CASE WHEN regexp_matches({bare}, '(^|[^a-z])[a-z]{{1,3}}\\$') THEN 'other' WHEN regexp_matches({bare}, '\\$|(^|[^a-z])dollars?([^a-z]|$)') THEN 'USD' END)"
+
+    # marks between digits: thousands where three digits follow, taken off from one end to the other, then decimals
+    number = lambda x: reduce(lambda t, _: f"regexp_replace({t}, '(\\d)[ .,''’](\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g')", range(5), x)
+    decimal = lambda x: f"regexp_replace(regexp_replace({x}, '(\\d),(\\d{{1,2}})(\\D|$)', '\\1.\\2\\3', 'g'), '(\\d),(\\d{{1,2}})(\\D|$)', '\\1.\\2\\3', 'g')"
+    amount = "(\\d[\\d.,''’]*\\d|\\d)(?: ?(k|lpa|lakhs?|l|crore|cr|mio|m)(?:[^a-z0-9]|$))?"
+    amounts = lambda x: f"CASE WHEN regexp_matches({x}, '^-\\d') THEN [] ELSE list_filter(list_transform(range(1, len(regexp_extract_all({x}, '{amount}', 1)) + 1), lambda i: {{'n': regexp_extract_all({x}, '{amount}', 1)[i], 'k': regexp_extract_all({x}, '{amount}', 2)[i]}}), lambda y: regexp_full_match(y.n, '\\d+(\\.\\d+)?')) END"
+    suffix = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SUFFIX_SCALES.items())
+    scales = {"0.01": "cents?|pence|pennies", "1000": "[kt][a-z]{3}|thousands?|tsd", "100000": "lakhs?|lacs?|lpa", "1000000": "millions?|mio|mn", "10000000": "crores?|cr"}
+    field_scale = f"CASE WHEN regexp_matches(cur, '\\(?000s?\\)?') THEN 1000 ELSE CAST(coalesce({first('cur', scales)}, '1') AS DECIMAL(12,2)) END"
+    value = lambda b: f"TRY_CAST({b}.n AS DECIMAL(18,4))"
+    bound = lambda b, own, other: f"""SELECT id, '{b}' AS bound, CAST({value(b)} * CASE WHEN (CASE WHEN joint THEN greatest(k_min, k_max) ELSE k_{b} END) = 1 THEN fs ELSE (CASE WHEN joint THEN greatest(k_min, k_max) ELSE k_{b} END) END AS DECIMAL(20,4)) AS amount,
+        coalesce(c_{own}, c_cur, c_{other}) AS cur, coalesce(p_{own}, p_per, p_{other}) AS per FROM e WHERE {b} IS NOT NULL"""
+    return f"""
+      WITH a AS (SELECT DISTINCT id, {decimal(number(clean('salary_min')))} AS lo, {decimal(number(clean('salary_max')))} AS hi, {clean('salary_currency')} AS cur, {clean('salary_interval')} AS per FROM jobs WHERE regexp_matches(coalesce(salary_min, '') || coalesce(salary_max, ''), '\\d')),
+      b AS (SELECT *, coalesce({amounts('lo')}, []) AS al, coalesce({amounts('hi')}, []) AS ah FROM a),
+      c AS (SELECT *, coalesce(al[1], CASE WHEN len(ah) >= 2 THEN ah[1] END) AS min, coalesce(CASE WHEN len(ah) >= 2 THEN ah[2] END, ah[1], al[2]) AS max FROM b),
+      d AS (SELECT *, coalesce(CASE min.k {suffix} END, 1) AS k_min, coalesce(CASE max.k {suffix} END, 1) AS k_max, {currency('lo')} AS c_lo, {currency('hi')} AS c_hi, {currency('cur')} AS c_cur,
+              {first('lo', PERIOD_SPELLINGS)} AS p_lo, {first('hi', PERIOD_SPELLINGS)} AS p_hi, {first("translate(per, '-_', '  ')", PERIOD_SPELLINGS)} AS p_per, {field_scale} AS fs FROM c),
+      e AS (SELECT *, coalesce(least(k_min, k_max) = 1 AND abs(ln(nullif({value('min')}, 0)) - ln(nullif({value('max')}, 0))) < abs(ln(nullif({value('min')}, 0) * k_min) - ln(nullif({value('max')}, 0) * k_max)), false) AS joint FROM d),
+      f AS ({bound('min', 'lo', 'hi')} UNION ALL {bound('max', 'hi', 'lo')})
+      SELECT DISTINCT f.id, f.bound, CAST(round(CAST(f.amount * CAST(c.factor AS DECIMAL(8,4)) AS DECIMAL(26,6)) * CAST(i.factor AS DECIMAL(8,2)), 0) AS BIGINT) AS usd_year
+      FROM f JOIN pay_units c ON c.unit_type = 'currency' AND c.unit_code = f.cur JOIN pay_units i ON i.unit_type = 'interval' AND i.unit_code = f.per WHERE f.amount > 0"""
+
+
 def _times_sql() -> str:
     """The reading of timestamps in SQL, with the zone rules of DuckDB's own library."""
     text = f"lower(regexp_replace(regexp_replace(text, '{_B}+', ' ', 'g'), '^ | $', '', 'g'))"
@@ -134,6 +178,7 @@ _ATS = f"lower(regexp_replace(ats, '^{_B}+|{_B}+$', '', 'g'))"
 SQL = {
     "p1_found": _P1,
     "p1_counts": f"SELECT snapshot_no, change_type, count(*) AS n FROM ({_P1}) GROUP BY ALL",
+    "p2_found": _pay_sql(),
     "p3_found": _times_sql(),
     "p4_found": f"""
       WITH t AS (SELECT count(DISTINCT id) AS total FROM jobs)
