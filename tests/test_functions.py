@@ -57,7 +57,7 @@ def test_text_functions(spark):
     assert one(spark, text.demand_key(*[F.col(c) for c in "abcde"]), a=" Data  Engineer", b=None, c="Full-time", d="", e="remote") == "data engineer||full-time||remote"
 
 
-def test_filter_lists():
+def test_filter_lists(spark):
     assert listed(" a, A ,b,,") == ["a", "b"] and listed(None) == []
     assert Filters(employment_type="nonsense").condition() is not None
 
