@@ -12,6 +12,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,18 +24,41 @@ from jobweft.session import ship
 
 # Given names, as an open list to which the caller can add.
 GIVEN_NAMES = """
-adam aisha albert alexander ali alice amara amelia amy ana anders andrea anita anna anne bianca carlos carmen catherine chloe chris christian clara claire
-daniel dario david diana diego elena elisa emeka emil emily emma eva fatima felix fernando frank freya gabriel greta hanna hannah harry hassan henry hiroshi
-hugo ibrahim igor ines ingrid ivan jack jacob james jan jane javier jean jens jessica johan john jonas jorge jose juan julia julian karen karim karl kofi laura
-leila lena leo lisa louis lucas lucia lucy luis marco marek maria marie mark marta martin mary mateo matthew maya mehmet mei michael miguel mina mohammed nadia
-noor olga oliver omar oscar owen pablo paul pedro peter pierre priya rachel rafael rahul ravi rebecca robert roberto samir samuel sandra sanjay sara sarah
-sebastian simon sofia sophie stefan stella susan tanja tariq teresa thomas tomas umar vera victor viktor vincent william xavier yasmin yuki yusuf zara zoe
+adam adrian agnes aisha alan albert alejandro alexander ali alice amara amelia amina amir amy ana anders andrea andrew angela anita anna anne antonio arjun astrid
+bianca boris brian bruno camila carla carlos carmen caroline catherine chloe chris christian clara claire daniel dario david deepa diana diego dmitri dora edward
+elena elias elif elisa emeka emil emily emma eric erik eva fatima felix fernando fiona francesca frank freya gabriel george giulia greta hamza hanna hannah harry
+hassan heidi helen henry hiroshi hugo ibrahim igor ines ingrid irene isabel ivan jack jacob james jamal jan jane javier jean jens jessica joan johan john jonas
+jorge jose joseph juan julia julian karen karim karl kate katja kenji kevin kofi kwame lars laura lea leila lena leo linda lisa louis lucas lucia lucy luis luka
+magnus maja marco marek maria marie mario mark marta martin mary mateo matthew maya mehmet mei michael miguel mina mohammed monica nadia natasha nicole nina noah
+noor olga oliver olivia omar oscar owen pablo patricia paul pavel pedro peter philip pierre priya rachel rafael rahul ravi rebecca robert roberto rosa ruth samir
+samuel sandra sanjay sara sarah sebastian sergei simon sofia sophie stefan stella susan sven tanja tariq teresa thomas tomas umar ursula vera victor viktor
+vincent wei william xavier yara yasmin yuki yusuf zara zoe
 """.split()
 # Words before a comma that are greetings and closings, not family names.
 NOT_FAMILY = set("""
 best thanks regards hi hello dear cheers signed sincerely yours kind warm many hey cordialement bonjour merci salut saludos hola gracias atentamente gruß grüße hallo
 danke liebe lieber from to cc re the and or with contact name candidate contacto interviewer attn also then so yes no today tomorrow mr mrs ms dr herr frau
 """.split())
+# Words of roles, departments and organisations, days, months and lettered things, and function words, which stand in no name.
+NOT_NAME = NOT_FAMILY | set("""
+hiring recruiting recruitment recruiter talent acquisition human resources team teams manager managers management department office support service services customer sales
+sir madam all everyone everybody colleague colleagues applicant applicants candidates employer company group inc ltd gmbh llc ag corp corporation limited holding holdings kg
+monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december
+plan class section annex appendix block option phase level grade type vitamin series schedule exhibit figure table gate terminal unit tier version chapter clause room building
+this that these those there here he she we you they it its our their his her my your who what when where which how if as at by in into of on off out up down over under
+is are was were be been has have had do does did will would can could may must should not but nor for please then than both each every only just very more most some any
+said says wrote writes joined left called asked met sent works worked leads led will asks signed kept
+der die das den dem des ein eine einen und oder mit von zu zum zur im am auf für ist sind war hat haben wird werden nicht auch sich wir ihr sie er es bei nach aus über unter als
+el los las un una y o con de del para por en es son fue ha han no se su sus que como más al lo
+le les une et ou avec du pour par dans sur est sont a ont ne pas ce cette ces qui que il elle nous vous votre notre vos nos au aux
+""".split())
+# Particles of family names.
+NAME_PARTICLES = frozenset("de del la van von der den di da al el bin".split())
+# Titles, greetings, closings and labels that a person's name follows.
+TITLES = r"(?:[Mm]rs?|MRS?|[Mm]s|MS|[Mm]x|[Mm]iss|[Dd]r|DR|[Pp]rof|[Ff]rau|FRAU|[Hh]errn?|HERRN?|[Ss]ra?|[Ss]eñora?|[Mm]me|[Mm]onsieur|[Mm]adame)\.? "
+GREETINGS = r"(?i:dear|hi|hello|hallo|liebe[r]?|bonjour|ch[eè]re?|hola|estimad[oa]|querid[oa]) "
+CLOSINGS = r"(?i:regards|best|best wishes|sincerely|truly|faithfully|signed|cheers|thanks|thank you|grüßen|grüße|gruß|cordialement|salutations|saludos?|atentamente),?\s+"
+LABELS = r"(?:(?i:from|signed|contact|contact person|interviewer|name|candidate|attn|kontakt|ansprechpartner(?:in)?|contacto|nombre|candidato|nom):\s?|(?m:^)From |(?i:my name is|mein name ist|ich heiße|me llamo|mi nombre es|je m['’]appelle) )"
 # Words that make a number before or after them a number of something else.
 OTHER_NUMBER = re.compile(r"(?:ticket|order|invoice|isbn|isbn-like|code|version|reference|ref|case|room|extension|floor|article|part|serial|tracking|build|release)(?:[\s-]*(?:code|number|no\.?|nr\.?|id|#))?[\s:#]*$", re.I)
 # Words that announce a number of a person's identity.
@@ -94,6 +118,26 @@ ADDRESS = re.compile(
     rf")(?![\w])"
 )
 _WORDS = re.compile(rf"[{_L}'’]+(?:-[{_L}'’]+)*")
+_LOW_WORDS = re.compile(rf"(?<![\w@.+'’-])[{_LOW}'’]+(?![\w@+'’-])")  # not those of mail addresses
+
+_CAPITAL, _INITIALS, _PARTICLES = rf"[{_UP}][{_L}'’]+(?:-[{_UP}][{_L}'’]+)?", rf"(?: [{_UP}]\.)+", r"(?:(?:de|del|la|van|von|der|den|di|da|al|el|bin) ){0,2}"
+_FULL = rf"{_CAPITAL}(?: [{_UP}]\.| {_CAPITAL}){{0,3}} {_PARTICLES}{_CAPITAL}"
+_END = rf"(?![\w@'’-]| [{_UP}])"
+_CLOSED = r"(?=\s*(?:[,;:.!?)(<\n–—]|$))"
+#: A name told by its position, whatever the given name: after a title, greeting, closing or label, around an initial, or before the sender's mail address.
+PLACED = re.compile(
+    rf"(?<![\w@.+-])(?:{TITLES}(?P<titled>{_FULL}){_END}"
+    rf"|{GREETINGS}(?P<greeted>{_FULL}){_END}{_CLOSED}"
+    rf"|{CLOSINGS}(?P<closing>{_FULL}){_END}{_CLOSED}"
+    rf"|{LABELS}(?P<labelled>{_FULL}){_END}"
+    rf"|{LABELS}(?P<label_turned>{_CAPITAL}, {_CAPITAL}(?: [{_UP}]\.)*){_END}{_CLOSED})"
+)
+PLACED_INITIAL = re.compile(rf"(?<![\w@.+-])(?P<initial>{_CAPITAL}{_INITIALS} {_PARTICLES}{_CAPITAL}){_END}|(?<![\w@.+-])(?P<turned>{_CAPITAL}, {_CAPITAL}{_INITIALS})(?![\w@-]| [{_UP}])")
+_MAIL_PARTS = re.compile(rf"([{_L}]{{2,}})[._-](?:[{_L}][._-])?([{_L}]{{2,}})[\d._-]*$")
+
+
+def plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
 @dataclass(frozen=True)
@@ -123,10 +167,11 @@ def family_endings(given: frozenset[str]) -> re.Pattern:
 
 
 class Finder:
-    """Finds all personal information of one text; words of ``given`` are given names."""
+    """Finds all personal information of one text; words of ``given`` are given names, those of ``common`` ordinary words."""
 
-    def __init__(self, given: frozenset[str]):
+    def __init__(self, given: frozenset[str], common: frozenset[str] = frozenset()):
         self.given = given
+        self.common = common
         self.names = name_pattern(given)
         self.endings = family_endings(given)
 
@@ -164,8 +209,44 @@ class Finder:
                     done = place = m.end()
                 else:
                     place = m.start() + 1
+        for start, end, ordinary in self._placed(text):
+            if not ordinary:
+                add(start, end, "name")
+        for start, end in self._of_mail(text, [f.text for f in found if f.kind == "email"]):
+            add(start, end, "name")
         return sorted(found, key=lambda f: f.start)
 
+    def _placed(self, text: str) -> Iterator[tuple[int, int, bool]]:
+        """(start, end, whether its words are ordinary ones) of names that their position tells."""
+        for pattern in (PLACED, PLACED_INITIAL):
+            place = 0
+            while m := pattern.search(text, place):
+                kind = m.lastgroup
+                start, end = m.span(kind)
+                place = max(start, m.start() + 1)  # what was taken for a word of the name may itself be a title or greeting
+                said = [w.lower() for w in _WORDS.findall(m[kind]) if len(w) > 1]
+                if NOT_NAME.isdisjoint(w for w in said if w not in NAME_PARTICLES):
+                    place = end
+                    first = said[1] if kind in ("turned", "label_turned") else said[0]
+                    yield start, end, kind != "titled" and (all(w in self.common for w in said) or kind in ("initial", "turned") and first in self.common)
+
+    @staticmethod
+    def _of_mail(text: str, addresses: list[str]) -> Iterator[tuple[int, int]]:
+        """Places of the two words that a mail address joins, in either order."""
+        for address in dict.fromkeys(addresses):
+            parts = _MAIL_PARTS.match(re.split(rf"@|{_AT}", address)[0].strip())
+            if not parts or not NOT_NAME.isdisjoint((parts[1].lower(), parts[2].lower())):
+                continue
+            a, b = plain(parts[1]), plain(parts[2])
+            for m in re.finditer(rf"(?<![\w@.+-])(?=([{_L}'’]+)(,?)(?: [{_L}]\.)* ([{_L}'’]+)((?: [{_UP}]\.)*)(?![\w@-]))", text):
+                if (x := plain(m[1])) in (a, b) and {x, plain(m[3])} == {a, b} and a != b:
+                    yield m.start(), m.end(4) if m[2] else m.end(3)
+
+    def words_at_names(self, text: str) -> tuple[list[str], list[str]]:
+        """The words, in lower case, of the names that position tells, and all words in lower case."""
+        said = [w for start, end, _ in self._placed(text) for w in _WORDS.findall(text[start:end].lower()) if len(w) > 1]
+        return said, _LOW_WORDS.findall(text)
+
     def _given_at(self, text: str) -> list[int]:
         return [m.start() for m in _WORDS.finditer(text) if (w := m[0].lower()) in self.given or "-" in w and w.split("-")[0] in self.given]
 
@@ -281,9 +362,39 @@ def redacted(text: str, finder: Finder, key: bytes) -> str:
     return "".join(out) + text[at:]
 
 
-def _found_rows(given: frozenset[str]):
+def _word_rows(given: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, at_names, low = Finder(given), Counter(), Counter()
+
+        def rows() -> pa.RecordBatch:
+            kept = sorted(at_names.keys() | low.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([at_names[w] for w in kept], pa.int64()), pa.array([low[w] for w in kept], pa.int64())], ["word", "at_names", "low"])
+            at_names.clear()
+            low.clear()
+            return out
+
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                said, words = finder.words_at_names(text)
+                at_names.update(said)
+                low.update(words)
+            if len(low) + len(at_names) > 500_000:
+                yield rows()
+        yield rows()
+
+    return run
+
+
+def ordinary_words(texts: DataFrame, given: frozenset[str]) -> frozenset[str]:
+    """Words at the places of names that are in lower case more often elsewhere, by counts over all texts (column text)."""
+    counts = texts.where(F.length("text") > 0).select("text").mapInArrow(_word_rows(given), "word string, at_names bigint, low bigint")
+    counts = counts.groupBy("word").agg(F.sum("at_names").alias("at_names"), F.sum("low").alias("low"))
+    return frozenset(r["word"] for r in counts.where("at_names > 0 AND low > at_names").select("word").collect())
+
+
+def _found_rows(given: frozenset[str], common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given)
+        finder = Finder(given, common)
         for batch in batches:
             index, kinds, texts = [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
@@ -297,9 +408,9 @@ def _found_rows(given: frozenset[str]):
     return run
 
 
-def _redacted_rows(given: frozenset[str], key: bytes):
+def _redacted_rows(given: frozenset[str], common: frozenset[str], key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given)
+        finder = Finder(given, common)
         for batch in batches:
             texts = [None if t is None else redacted(t, finder, key) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -312,12 +423,15 @@ def find_personal(df: DataFrame, *, key: str = "doc_id", text: str = "text", mor
 
     Whole texts are read. Null keys and null or empty texts give no row, repeated rows and repeated
     values one. Types do not overlap: mail addresses go first, then identity numbers, phone numbers,
-    addresses, names. ``more_given`` adds given names. Other columns are not read.
+    addresses, names. ``more_given`` adds given names; other given names are found by their position (a title,
+    greeting, closing or label before, an initial between, the same words in a mail address of the text).
+    The texts are read twice: counts of words over all of them tell ordinary words at such positions, and
+    those words are broadcast. Other columns are not read.
     """
     ship(df.sparkSession)
     source = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     given = frozenset(GIVEN_NAMES) | {x.lower() for x in more_given}
-    return source.mapInArrow(_found_rows(given), f"doc_id {dict(df.dtypes)[key]}, pii_type string, pii_text string").distinct()
+    return source.mapInArrow(_found_rows(given, ordinary_words(source, given)), f"doc_id {dict(df.dtypes)[key]}, pii_type string, pii_text string").distinct()
 
 
 def redact_personal(df: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text", more_given: tuple[str, ...] = ()) -> DataFrame:
@@ -331,4 +445,4 @@ def redact_personal(df: DataFrame, secret: str, *, key: str = "doc_id", text: st
     ship(df.sparkSession)
     source = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     given = frozenset(GIVEN_NAMES) | {x.lower() for x in more_given}
-    return source.mapInArrow(_redacted_rows(given, secret.encode()), f"doc_id {dict(df.dtypes)[key]}, text string")
+    return source.mapInArrow(_redacted_rows(given, ordinary_words(source, given), secret.encode()), f"doc_id {dict(df.dtypes)[key]}, text string")

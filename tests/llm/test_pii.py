@@ -64,3 +64,22 @@ def test_check_letters_and_dates():
     assert out[-1] == DNI_LETTERS[int(out[:8]) % 23] and permuted(out, b"k", "id_number", decrypt=True) == valid
     assert permuted_date(permuted_date("1984-02-29", b"k"), b"k", decrypt=True) == "1984-02-29" and permuted_date("1850-01-01", b"k") == "1850-01-01"
     assert pii.EMAIL.search("meet at noon") is None
+
+
+PLACED = [
+    ("Kevin Smith met Linda Weber; Patel, Angela too.", {"Kevin Smith", "Linda Weber", "Patel, Angela"}),
+    ("Dear Ms. Siobhan Murphy, Dr. Oluwaseun Adeyemi-Cole will call. Hello Thandiwe Nkosi!", {"Siobhan Murphy", "Oluwaseun Adeyemi-Cole", "Thandiwe Nkosi"}),
+    ("From: Okafor, Chidi\nSigned, Bronwyn Hughes\nMy name is Ngozi Eze and I write.", {"Okafor, Chidi", "Bronwyn Hughes", "Ngozi Eze"}),
+    ("Ask Siobhan K. Murphy, or Nkosi, Thandiwe P., first.", {"Siobhan K. Murphy", "Nkosi, Thandiwe P."}),
+    ("Today Siobhan Murphy wrote from siobhan.murphy@firm.example.", {"Siobhan Murphy"}),
+    ("Dear Hiring Manager, see Plan B. The rest is in Annex C. Payment follows. Best, Talent Team\nContact: Human Resources\nFrom: Berlin", set()),
+    ("Our quality guild meets. The quality of guild work counts.\nContact: Quality Guild", set()),  # both words are ordinary ones in these texts
+]
+
+
+def test_names_by_position(spark):
+    got = {i: set() for i in range(len(PLACED))}
+    for r in find_personal(spark.createDataFrame([(i, t, "", "") for i, (t, _) in enumerate(PLACED)], SCHEMA)).where("pii_type = 'name'").collect():
+        got[r["doc_id"]].add(r["pii_text"])
+    for i, (text, want) in enumerate(PLACED):
+        assert got[i] == want, text
