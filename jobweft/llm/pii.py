@@ -133,6 +133,9 @@ PLACED = re.compile(
     rf"|{LABELS}(?P<label_turned>{_CAPITAL}, {_CAPITAL}(?: [{_UP}]\.)*){_END}{_CLOSED})"
 )
 PLACED_INITIAL = re.compile(rf"(?<![\w@.+-])(?P<initial>{_CAPITAL}{_INITIALS} {_PARTICLES}{_CAPITAL}){_END}|(?<![\w@.+-])(?P<turned>{_CAPITAL}, {_CAPITAL}{_INITIALS})(?![\w@-]| [{_UP}])")
+#: What stands right before, and right after, a name whose place tells it.
+CUE = re.compile(rf"(?<![\w@.+-])(?:{TITLES}|{GREETINGS}|{CLOSINGS}|{LABELS})$")
+SENDER = re.compile(r"\s?[<(\[]\s?[\w.+%-]+(?:@|\s?[(\[]\s?at)")
 _MAIL_PARTS = re.compile(rf"([{_L}]{{2,}})[._-](?:[{_L}][._-])?([{_L}]{{2,}})[\d._-]*$")
 
 
@@ -153,19 +156,14 @@ def name_pattern(given: frozenset[str]) -> re.Pattern:
     first = "|".join(sorted(given, key=lambda x: (-len(x), x)))
     one = rf"(?i:{first})(?:-(?i:{first}))?(?![{_L}'’])"
     family = rf"(?:(?:de|del|la|van|von|der|den|di|da|al|el|bin) ){{0,2}}[{_UP}][{_L}'’]+(?:-[{_UP}][{_L}'’]+)?"
-    low = rf"[{_LOW}][{_L}'’]{{3,}}"
+    low = rf"{_PARTICLES}[{_LOW}'’]{{2,}}(?:-[{_LOW}'’]{{2,}})?"
     return re.compile(
         rf"(?<![\w@.+-])(?:(?P<turned>[{_UP}][{_L}'’]+(?:-[{_UP}][{_L}'’]+)?), (?P<turned_given>{one})(?P<turned_initial>(?: [{_UP}]\.)*)(?![\w@-]| (?:[{_UP}]\. )*[{_UP}][{_L}]+)"
         rf"|(?P<given>{one})(?P<initials>(?: [{_UP}]\.)*) (?P<family>{family})(?![\w@])"
-        rf"|(?P<low_given>{one})(?P<low_initials>(?: [{_LOW}]\.)*) (?P<low_family>{low})(?![\w@]))"
+        rf"|(?P<low_given>{one})(?P<low_initials>(?: [{_LOW}]\.)*) (?P<low_family>{low})(?![\w@'’-]))"
     )
 
 
-def family_endings(given: frozenset[str]) -> re.Pattern:
-    """Endings that family names share, for names typed all in lower case."""
-    return re.compile(r"(?:heim|ovsky|owski|itsen|sen|son|ingham|wick|elli|adze|shvili|stad|ares|quist|mann|uchi|owitz|ovich|ander|ullo|ez|stein|berg|feld|ström|enko|escu|idis|opoulos|iani|ini|etti|oglu|yan|ian)$")
-
-
 class Finder:
     """Finds all personal information of one text; words of ``given`` are given names, those of ``common`` ordinary words."""
 
@@ -173,7 +171,7 @@ class Finder:
         self.given = given
         self.common = common
         self.names = name_pattern(given)
-        self.endings = family_endings(given)
+        self.low_names = re.compile(rf"(?<![\w@.+'’-])([{_LOW}]+)(?:-[{_LOW}]+)?(?: [{_LOW}]\.)* {_PARTICLES}(?=([{_LOW}'’]{{2,}}(?:-[{_LOW}'’]{{2,}})?)(?![\w@'’-]))")
 
     def find(self, text: str) -> list[Found]:
         found: list[Found] = []
@@ -204,7 +202,7 @@ class Finder:
                 continue
             place, end = max(done, at - 45), min(len(text), at + 160)  # a name reaches no farther from its given name
             while (m := self.names.search(text, place, end)) and m.start() <= at:
-                if self._is_name(m):
+                if self._is_name(text, m):
                     add(m.start(), m.end(), "name")
                     done = place = m.end()
                 else:
@@ -245,7 +243,12 @@ class Finder:
     def words_at_names(self, text: str) -> tuple[list[str], list[str]]:
         """The words, in lower case, of the names that position tells, and all words in lower case."""
         said = [w for start, end, _ in self._placed(text) for w in _WORDS.findall(text[start:end].lower()) if len(w) > 1]
-        return said, _LOW_WORDS.findall(text)
+        low = _LOW_WORDS.findall(text)
+        # beside a given name in lower case a word counts as one at a name, and not as one elsewhere
+        beside = [w for m in self.low_names.finditer(text) if m[1] in self.given for w in (m[2].split("-") if m[2] not in self.given else ())]
+        rest = Counter(low)
+        rest.subtract(beside)
+        return said + beside, list((+rest).elements())
 
     def _given_at(self, text: str) -> list[int]:
         return [m.start() for m in _WORDS.finditer(text) if (w := m[0].lower()) in self.given or "-" in w and w.split("-")[0] in self.given]
@@ -261,13 +264,17 @@ class Finder:
             return bool(ID_CUE.search(before))
         return True
 
-    def _is_name(self, m: re.Match) -> bool:
+    def _is_name(self, text: str, m: re.Match) -> bool:
         if m["turned"]:
             return m["turned"].lower() not in NOT_FAMILY and m["turned"].lower() not in self.given and len(m["turned"]) > 2 and m["turned_given"][0].isupper()
         if m["given"]:
             family = m["family"].split()[-1]
             return m["given"][0].isupper() and len(family) > 2 and family.lower() not in NOT_FAMILY
-        return bool(self.endings.search(m["low_family"])) and m["low_given"].islower() and m["low_family"].islower()
+        family = [w for w in _WORDS.findall(m["low_family"]) if w not in NAME_PARTICLES]
+        if not m["low_given"].islower() or not family or not NOT_NAME.isdisjoint(family):
+            return False
+        # a word that is elsewhere in these texts an ordinary one is a family name where the place tells it
+        return family[-1] not in self.common or bool(m["low_initials"] or CUE.search(text[max(0, m.start() - 40) : m.start()]) or SENDER.match(text, m.end()))
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes, rounds: int = 10, decrypt: bool = False) -> int:

@@ -83,3 +83,18 @@ def test_names_by_position(spark):
         got[r["doc_id"]].add(r["pii_text"])
     for i, (text, want) in enumerate(PLACED):
         assert got[i] == want, text
+
+
+LOWER = [
+    ("Ask john smith, maria garcia, peter müller or sarah jones; ruth j. lee and li are in.", {"john smith", "maria garcia", "peter müller", "sarah jones", "ruth j. lee"}),
+    ("Please mark deliverables and be frank with us. Our deliverables: the deliverables.", set()),
+    ("Bread from the baker; the baker and each other baker.\nKind regards,\nanna baker", {"anna baker"}),  # the place tells it
+]
+
+
+def test_names_in_lower_case(spark):
+    got = {i: set() for i in range(len(LOWER))}
+    for r in find_personal(spark.createDataFrame([(i, t, "", "") for i, (t, _) in enumerate(LOWER)], SCHEMA)).where("pii_type = 'name'").collect():
+        got[r["doc_id"]].add(r["pii_text"])
+    for i, (text, want) in enumerate(LOWER):
+        assert got[i] == want, text
