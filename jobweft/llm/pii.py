@@ -80,6 +80,7 @@ EMAIL = re.compile(
     rf"(?<![\w.+%-])[\w](?:[\w.+%-]*[\w+-])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[{_L}]{{2,24}}(?![\w-])"
     rf"|(?<![\w.+%-])[\w](?:[\w.+%-]*[\w])?(?:\s?[(\[{{]\s?dot\s?[)\]}}]\s?[\w+-]+|\sDOT\s[\w+-]+)*{_AT}[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)*{_DOT}[{_L}]{{2,24}}(?![\w-])"
 )
+_ANY_AT = re.compile(rf"@|{_AT}")  # every address has one
 PHONE = re.compile(
     r"(?<![\w+.,/-])(?:"
     r"\+\d{1,3}(?:[ .-]?\(0\))?(?:[ .-]?\(?\d{1,5}\)?){1,6}"
@@ -182,8 +183,7 @@ class Finder:
                 taken.append((start, end))
                 found.append(Found(start, end, kind, text[start:end]))
 
-        lower = text.lower()
-        if "@" in text or " at " in lower or "at)" in lower or "at]" in lower or "arroba" in lower or "at}" in lower or "at>" in lower:
+        if _ANY_AT.search(text):
             for m in EMAIL.finditer(text):
                 add(m.start(), m.end(), "email")
         if any(c.isdigit() for c in text):

@@ -98,3 +98,10 @@ def test_names_in_lower_case(spark):
         got[r["doc_id"]].add(r["pii_text"])
     for i, (text, want) in enumerate(LOWER):
         assert got[i] == want, text
+
+
+def test_every_spelling_of_at_is_tried():
+    finder = pii.Finder(frozenset(pii.GIVEN_NAMES))
+    for address in ("jane (a) firm.com", "jane [a] firm.com", "jane at firm dot com", "jane at\nfirm dot com", "jane ARROBA firm.com"):
+        assert [f.text for f in finder.find(f"Write to {address}.") if f.kind == "email"] == [address]
+    assert finder.find("We met at noon (a) or later.") == []
