@@ -29,6 +29,12 @@ MONTHS = {
     "jan": 1, "ene": 1, "feb": 2, "fév": 2, "fev": 2, "mar": 3, "mär": 3, "mrz": 3, "apr": 4, "avr": 4, "abr": 4, "may": 5, "mai": 5,
     "jun": 6, "jul": 7, "aug": 8, "aoû": 8, "ago": 8, "sep": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "dez": 12, "déc": 12, "dic": 12,
 }
+# Month names that are looked up first, by four letters, as three don't tell them apart.
+LONG_MONTHS = {"juin": 6, "juil": 7}
+# No zone changed its offset before the first year; after the second all follow yearly rules.
+RULE_YEARS = (1840, 2099)
+# 28 years with all 14 calendars, for the yearly rules.
+MODEL_YEARS = (2372, 2399)
 
 _TIME = r"(?:(?:t|,? at |, ?| )(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([ap])\.?m\.?(?![a-z]))?)?"
 _ZONE = r" ?((?:gmt|utc)?[+-]\d{2}:?\d{0,2}|[a-z]{1,5})?(?: ?\([^)]*\))?"
@@ -65,13 +71,22 @@ def offset_intervals(zone: str, first: int, last: int) -> list[tuple[datetime, d
     return [*out, (began, end, here)]
 
 
+#: The rows of the 14 calendars have this and more as their year.
+_CALENDARS = 100_000
+
+
 def zone_years(spark: SparkSession, zones: list[str], first: int = 1970, last: int = 2069) -> DataFrame:
-    """One row per zone and local year with the array of its offset intervals: local_from, local_to, offset (seconds)."""
+    """One row per zone and local year with the array of its offset intervals: local_from, local_to, offset (seconds).
+
+    All years before ``first`` share the row of the year before it; years after ``last``, and after the last
+    with rules of its own, have a row for each of the 14 calendars, in seconds from the start of the year.
+    """
     epoch = datetime(1970, 1, 1)
-    rows = []
+    rows, done = [], set()
+    last = max(last, RULE_YEARS[1])
     for zone in zones:
         try:
-            spans = offset_intervals(zone, first, last)
+            spans, early, late = offset_intervals(zone, first, last), offset_intervals(zone, min(first - 1, RULE_YEARS[0]), first), offset_intervals(zone, *MODEL_YEARS)
         except Exception:  # noqa: BLE001  an unknown zone has no intervals, so its local times stay unread
             continue
         for year in range(first, last + 1):
@@ -80,6 +95,16 @@ def zone_years(spark: SparkSession, zones: list[str], first: int = 1970, last: i
             # one interval more on either side, so that a gap or overlap at the turn of the year has both its sides
             near = [i for i, (a, b, _) in enumerate(parts) if a <= hi + 172800 and b > lo - 172800]
             rows.append((zone, year, [parts[i] for i in range(max(0, near[0] - 1), min(len(parts), near[-1] + 2))]))
+        parts = [(int((a - epoch).total_seconds()) + o, int((b - epoch).total_seconds()) + o, o) for a, b, o in early]
+        rows.append((zone, first - 1, [(-(1 << 60), *parts[0][1:]), *parts[1:]]))
+        for year in range(MODEL_YEARS[0], MODEL_YEARS[1] + 1):
+            lo = int((datetime(year, 1, 1) - epoch).total_seconds())
+            parts = [(int((a - epoch).total_seconds()) + o - lo, int((b - epoch).total_seconds()) + o - lo, o) for a, b, o in late]
+            near = [p for p in parts if p[0] <= 367 * 86400 and p[1] > -86400]
+            calendar = _CALENDARS + 2 * datetime(year, 1, 1).weekday() + (year % 4 == 0)
+            if (zone, calendar) not in done:
+                done.add((zone, calendar))
+                rows.append((zone, calendar, near))
     entry = T.StructType([T.StructField(n, T.LongType()) for n in ("local_from", "local_to", "offset")])
     return spark.createDataFrame(rows, T.StructType([T.StructField("zone", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("spans", T.ArrayType(entry))]))
 
@@ -113,6 +138,7 @@ def read_times(d: DataFrame, text: str, day_first: str, keep: list[str]) -> Data
     The steps are columns of their own, so that each is computed once and the generated code stays small.
     """
     months = F.create_map(*[F.lit(x) for k, v in MONTHS.items() for x in (k, v)])
+    long_months = F.create_map(*[F.lit(x) for k, v in LONG_MONTHS.items() for x in (k, v)])
     offsets = F.create_map(*[F.lit(x) for k, v in ZONE_OFFSETS.items() for x in (k, v)])
     d = held(d, *keep, F.col(day_first).alias("_first"), _canonical(F.lower(stripped(F.regexp_replace(F.col(text), BLANKS, " ")))).alias("_f"))
     swap = (F.get("_f", F.lit(0)) == "slash") & F.coalesce(F.col("_first"), F.lit(False))
@@ -125,7 +151,7 @@ def read_times(d: DataFrame, text: str, day_first: str, keep: list[str]) -> Data
     )
     d = d.withColumns({
         "_year": F.when(F.col("_kind") != "epoch", _int(F.col("_head"))),
-        "_month": F.coalesce(_int(F.col("_month_text")), months[F.substring("_month_text", 1, 3)]),
+        "_month": F.coalesce(_int(F.col("_month_text")), long_months[F.substring("_month_text", 1, 4)], months[F.substring("_month_text", 1, 3)]),
         "_hour24": F.when(F.col("_half").isNull(), F.col("_hour")).when(F.col("_hour").between(1, 12), F.col("_hour") % 12 + F.when(F.col("_half") == "p", 12).otherwise(0)),
         "_offset": F.when(F.col("_signed").contains("|"), (
             _int(F.get(F.split("_signed", r"\|"), F.lit(1))) * 3600 + F.coalesce(_int(F.get(F.split("_signed", r"\|"), F.lit(2))), F.lit(0)) * 60
@@ -162,8 +188,9 @@ def utc_instants(
     not given: the month leads) unless the year leads; ``zones`` names the zones that occur, else they are
     looked up; dotted dates lead with the day; a date alone is
     local midnight. Nulls, empty and wordy texts, relative phrases, impossible dates or times, unknown
-    zones, and local times outside ``years`` give no row. Repeated rows give one. The zone table has one
-    row per zone and year: ``max_zones`` and ``years`` bound what is broadcast.
+    zones give no row. Repeated rows give one. The zone table has one row per zone and year of ``years``
+    and on to 2099, one for all years before and 14 for those after: ``max_zones`` and ``years`` bound
+    what is broadcast.
     """
     spark = df.sparkSession
     first = day_first if day_first is not None else F.lit(False)
@@ -181,9 +208,16 @@ def utc_instants(
     if len(names) > max_zones:
         raise ValueError("more zones than max_zones")
     spans = zone_years(spark, names, *years)
-    d = d.join(F.broadcast(spans.withColumnsRenamed({"zone": "_z", "year": "_y"})), (F.col("zone") == F.col("_z")) & (F.col("_year") == F.col("_y")), "left")
-    hit = F.filter("spans", lambda x: (F.col("_local") >= x["local_from"]) & (F.col("_local") < x["local_to"]))
-    before = F.array_max(F.filter("spans", lambda x: x["local_to"] <= F.col("_local")))  # of the interval that ended last
+    new_year = F.unix_date(F.make_date("_year", F.lit(1), F.lit(1)))
+    leap = F.dayofyear(F.make_date("_year", F.lit(12), F.lit(31))) - 365
+    late = F.col("_year") > max(years[1], RULE_YEARS[1])
+    d = d.withColumns({
+        "_clock": F.when(late, F.col("_local") - new_year.cast("long") * 86400).otherwise(F.col("_local")),
+        "_row": F.when(late, F.lit(_CALENDARS) + 2 * F.weekday(F.make_date("_year", F.lit(1), F.lit(1))) + leap).otherwise(F.greatest("_year", F.lit(years[0] - 1))),
+    })
+    d = d.join(F.broadcast(spans.withColumnsRenamed({"zone": "_z", "year": "_y"})), (F.col("zone") == F.col("_z")) & (F.col("_row") == F.col("_y")), "left")
+    hit = F.filter("spans", lambda x: (F.col("_clock") >= x["local_from"]) & (F.col("_clock") < x["local_to"]))
+    before = F.array_max(F.filter("spans", lambda x: x["local_to"] <= F.col("_clock")))  # of the interval that ended last
     d = d.withColumn("_hit", hit).withColumn("_before", before)
     offset = F.coalesce(F.col("_offset").cast("long"), F.array_max(F.transform("_hit", lambda x: x["offset"])), F.col("_before.offset"))
     reading = (

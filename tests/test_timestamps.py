@@ -67,3 +67,13 @@ def test_empty(spark):
     assert utc_instants(spark.createDataFrame([], SCHEMA), {"t": "UTC"}).count() == 0
     with pytest.raises(ValueError):
         utc_instants(spark.createDataFrame([(1, "2024", "a", None, "")], SCHEMA), {"t": "UTC"}, zones=["a", "b"], max_zones=1)
+
+
+def test_french_months_and_years_outside_the_table(spark):
+    far = [(datetime(y, m, 15, 12), z) for y in (1900, 1944, 1965, 1969, 2070, 2080, 2099, 2100, 2222, 2400, 9998) for m in (1, 7) for z in (NY, BERLIN, "Australia/Sydney", "Africa/Casablanca")]
+    cases = [(t.strftime("%Y-%m-%d %H:%M:%S"), z, micros(*t.replace(tzinfo=ZoneInfo(z)).astimezone(UTC).replace(tzinfo=None).timetuple()[:6])) for t, z in far] + [
+        ("12 juin 2024", "UTC", micros(2024, 6, 12)), ("3 juillet 2024 14:00", BERLIN, micros(2024, 7, 3, 12)), ("3 juil. 2024", "UTC", micros(2024, 7, 3)),
+        ("1969-12-31", "UTC", micros(1969, 12, 31)), ("1900-01-01", "UTC", micros(1900, 1, 1)), ("9999-12-31", "UTC", micros(9999, 12, 31)), ("1969-12-31", "No/Where", None)]
+    got = {r["id"]: r["utc_micros"] for r in utc_instants(spark.createDataFrame([(i, t, z, False, "") for i, (t, z, _) in enumerate(cases)], SCHEMA), {"t": F.col("z")}).collect()}
+    for i, (text, zone, want) in enumerate(cases):
+        assert got.get(i) == want, (text, zone)
