@@ -55,7 +55,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return redact_personal(table(spark, sf, "documents"), "key of the demonstration")
+    return redact_personal(table(spark, sf, "documents"), spark.conf.get("spark.jobweft.pii.secret", "set spark.jobweft.pii.secret to a secret of your own"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p8_packed": p8_packed, "p8_summary": p8_summary, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}

@@ -2,7 +2,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from jobweft.llm import pii
-from jobweft.llm.pii import DNI_LETTERS, feistel, find_personal, permuted, permuted_date, redact_personal
+from jobweft.llm.pii import find_personal, redact_personal
+from jobweft.llm.pseudonyms import DNI_LETTERS, feistel, permuted_date, permuted_number, permuted_phone, valid_number
 
 SCHEMA = "doc_id bigint, text string, pii_type string, pii_text string"
 CASES = [
@@ -39,7 +40,7 @@ def test_redaction_links_equal_values_and_keeps_the_rest(spark):
     assert out[1].startswith("Ask [NAME ") and out[1].endswith(", today.") and "23125" not in out[1]
     name, phone = out[1].split("[NAME ")[1].split("]")[0], out[1].split("[PHONE ")[1].split("]")[0]
     assert f"[NAME {name}]" in out[2] and f"[PHONE {phone}]" in out[2] and out[3] is None and out[4] == "nothing here"
-    assert permuted(phone, b"secret", "phone", decrypt=True) == "+49 30 23125 923"
+    assert permuted_phone(phone, b"secret", decrypt=True) == "+49 30 23125 923"
     assert redact_personal(spark.createDataFrame([], SCHEMA), "k").count() == 0
 
 
@@ -50,19 +51,56 @@ def test_feistel_permutes(size, key):
     assert all(feistel(feistel(v, size, key, b"t"), size, key, b"t", decrypt=True) == v for v in range(min(size, 50)))
 
 
-@given(st.from_regex(r"[0-9]{3}-[0-9]{2} [0-9]{4}|[A-Z]{5}[0-9]{4}[A-Z]|\+49 [0-9]{5,9}", fullmatch=True))
-def test_format_is_kept_and_inverted(text):
-    for kind in ("id_number", "phone"):
-        out = permuted(text, b"k", kind)
-        assert [c.isdigit() for c in out] == [c.isdigit() for c in text] and len(out) == len(text)
-        assert permuted(out, b"k", kind, decrypt=True) == text
+NUMBERS = st.from_regex(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]|[XYZ][0-9]{7}[A-Z]|[A-Z]{5}[0-9]{4}[A-Z]|[a-z]{2} [0-9]{2} [0-9]{2} [0-9]{2} [a-d]|[A-Z][0-9]{8}|[0-9]{9}|[0-9]{11}", fullmatch=True)
 
 
-def test_check_letters_and_dates():
+@given(NUMBERS)
+def test_numbers_keep_format_and_validity_and_all_are_inverted(text):
+    out = permuted_number(text, b"k")
+    assert [(c.isdigit(), c.isupper()) for c in out] == [(c.isdigit(), c.isupper()) for c in text] and len(out) == len(text)
+    assert valid_number(out) == valid_number(text) and permuted_number(out, b"k", decrypt=True) == text
+
+
+@given(st.from_regex(r"\+49 [0-9]{5,9}|\([2-9][0-9]{2}\) [0-9]{3}-[0-9]{4}|0[0-9]{2}/[0-9]{7}|00[1-9][0-9]{2} [0-9]{3} [0-9]{4}|[0-9]{7,15}", fullmatch=True))
+def test_every_phone_is_inverted(text):
+    out = permuted_phone(text, b"k")
+    assert len(out) == len(text) and permuted_phone(out, b"k", decrypt=True) == text
+
+
+def test_notations_of_a_phone_stay_linked():
+    national = lambda t: "".join(c for c in permuted_phone(t, b"k") if c.isdigit())
+    forms = ["+49 30 1234567", "0049 30 1234567", "030/1234567", "(030) 1234567", "+49 (0)30 1234567", "+49301234567"]
+    assert len({national(f)[-9:] for f in forms}) == 1 and permuted_phone(forms[0], b"k").startswith("+49 ") and permuted_phone(forms[1], b"k").startswith("0049 ")
+    assert len({national(f)[-10:] for f in ("+1 702 555 0155", "001-702-555-0155", "(702) 555-0155", "702.555.0155", "1-702-555-0155")}) == 1
+
+
+def test_checks_of_numbers():
+    good = ["12345678Z", "X1234567L", "219-09-9999", "900-70-1234", "AB 12 34 56 C", "ABCPE1234F", "255081416802538", "86095742719", "529.982.247-25", "123 456 782"]
+    bad = ["12345678A", "X1234567M", "666-09-9999", "219-00-9999", "900-10-1234", "QQ123456C", "GB123456C", "ABCDE1234F", "255081416802539", "86095742718", "529.982.247-26", "123 456 789", "123456789", "J00902924"]
+    assert [n for n in good if not valid_number(n)] == [] and [n for n in bad if valid_number(n)] == []
+    finder = pii.Finder(frozenset(pii.GIVEN_NAMES))
+    ids = lambda t: [f.text for f in finder.find(t) if f.kind == "id_number"]
+    assert ids("The invoice total 912345678 and 666123456 parts; lot 12345678A; NIR 2 55 08 14 168 025 38 and 12345678Z") == ["2 55 08 14 168 025 38", "12345678Z"]
+    assert ids("Tax number 912345678. Passport 12345678A.") == ["912345678", "12345678A"]
+
+
+DATES = ["1984-02-29", "03.11.1990", "3.12.1990", "25/12/1971", "12/25/1971", "03/04/1966", "12 March 1984", "March 12, 1984", "3. Mai 1977", "4 de abril de 1988", "1er août 1954"]
+
+
+def test_dates_of_birth():
+    for text in DATES:
+        out = permuted_date(text, b"k")
+        assert out != text and pii.read_date(permuted_date(out, b"k", decrypt=True))[0] == pii.read_date(text)[0], text
+    assert permuted_date("1850-01-01", b"k") == "1850-01-01" and permuted_date("31/02/1990", b"k") == "31/02/1990"
+    text = "Born on 12 March 1984, geboren am 03.11.1990, née le 25/12/1971; we met on 2024-05-06."
+    assert [f.text for f in pii.Finder(frozenset()).find(text, dates=True)] == ["12 March 1984", "03.11.1990", "25/12/1971"]
+    assert "2024-05-06" in pii.redacted(text, pii.Finder(frozenset()), b"k") and "1984" not in pii.redacted(text, pii.Finder(frozenset()), b"k").split("geboren")[0].replace("[", "")
+
+
+def test_check_letters():
     valid = "12345678" + DNI_LETTERS[12345678 % 23]
-    out = permuted(valid, b"k", "id_number")
-    assert out[-1] == DNI_LETTERS[int(out[:8]) % 23] and permuted(out, b"k", "id_number", decrypt=True) == valid
-    assert permuted_date(permuted_date("1984-02-29", b"k"), b"k", decrypt=True) == "1984-02-29" and permuted_date("1850-01-01", b"k") == "1850-01-01"
+    out = permuted_number(valid, b"k")
+    assert out[-1] == DNI_LETTERS[int(out[:8]) % 23] and permuted_number(out, b"k", decrypt=True) == valid
     assert pii.EMAIL.search("meet at noon") is None
 
 
@@ -105,3 +143,62 @@ def test_every_spelling_of_at_is_tried():
     for address in ("jane (a) firm.com", "jane [a] firm.com", "jane at firm dot com", "jane at\nfirm dot com", "jane ARROBA firm.com"):
         assert [f.text for f in finder.find(f"Write to {address}.") if f.kind == "email"] == [address]
     assert finder.find("We met at noon (a) or later.") == []
+
+
+#: Held out: names, family names, numbers and wordings that neither the lists nor the test tables hold; marked {kind:text}.
+HELD_OUT = """
+Please call Kevin Brown or {name:Deborah Wilson} or {name:Wei Zhang} tomorrow at {phone:+44 161 496 0753}.
+Dear Dr. {name:Chimamanda Okonkwo}, your NIE {id_number:X1234567L} is on file.
+{name:Thandeka Dube} wrote that the parcel for {name:Sipho Dube} was late.
+Contact: {name:Bartholomew Fitzgerald}, {email:b.fitzgerald@harbour-lane.org}, {phone:(212) 664-7665}.
+Kind regards,\\n{name:Guadalupe Etxeberria}
+Hello {name:Siddharth Venkataraman}, thank you. {name:Venkataraman, Siddharth K.} is on the list.
+Mr {name:Percival Addington-Smythe} lives at {address:12 Wisteria Lane}.
+The candidate {name:Solveig R. Haugland} gave {id_number:219-09-9999} and {phone:0161 496 0112}.
+Interviewer: {name:Xiomara Quispe}; she and {name:Evangelos Papadakis} met at noon.
+Ich heiße {name:Anneliese Obermüller}, geboren in Ulm, {phone:+49 89 636480}.
+Me llamo {name:Itziar Goikoetxea} y vivo en {address:Calle Mayor 14}.
+Je m'appelle {name:Clotilde Beauchamp}, {address:14 rue des Lilas}, {email:clotilde (at) lilas (dot) fr}.
+From: {name:Leopold Weatherby} <{email:lw@example.net}>
+{name:Ngaio Tamahori} said no; Ms. {name:Ngaio Tamahori} said it twice. Ask {name:Ngaio Tamahori}.
+Frau {name:Hildegard Knöbel} und {name:Friedhelm Knöbel} haben die Steuer-ID {id_number:86095742719} angegeben.
+{name:Rosalind Achterberg} (from rosalind.achterberg) mailed {email:rosalind.achterberg@delft.nl}.
+Signed, {name:Fyodor Zaytsev}
+Candidate: {name:Aoife Ní Bhriain}
+Mark Down the prices. A Frank Exchange of views. Maya Software and Kevin Sinere Pharmaceuticals grew.
+Invoice total 912345678, order 555-0130-22, version 8.47.158, due 2024-05-06, room 204 on 5th Street level.
+Best Western Hotels opened. Data Science and Site Reliability are teams. United Nations staff met at Wall Street.
+My DNI is {id_number:12345678Z}; my CPF {id_number:529.982.247-25}; not 12345678901234.
+Attn: {name:Wolfgang Äschlimann}, {address:Bahnhofstrasse 12}
+Cheers, {name:Tyrone Washington}
+We hired people who like Monday Morning Coffee. The Grand Budapest Hotel was full.
+{name:Marguerite Duplessis} and Emily Stone agreed; {name:Augustin Lefebvre} replied later.
+"""
+
+
+def test_held_out_precision_and_recall():
+    """Figures of this fixture stand in the README: precision and recall of at least 0.9, all kinds together and names alone."""
+    import re
+
+    finder = pii.Finder(frozenset(pii.GIVEN_NAMES))
+    got, want = set(), set()
+    for i, line in enumerate(HELD_OUT.strip().splitlines()):
+        line = line.replace("\\n", "\n")
+        text = re.sub(r"\{(\w+):([^}]*)\}", r"\2", line)
+        want |= {(i, k, t) for k, t in re.findall(r"\{(\w+):([^}]*)\}", line)}
+        listed = {"Kevin Brown", "Emily Stone"}  # given names of the list
+        got |= {(i, f.kind, f.text) for f in finder.find(text) if f.text not in listed}
+    both = got & want
+    names = lambda s: {x for x in s if x[1] == "name"}
+    print("precision", len(both) / len(got), "recall", len(both) / len(want), "missed", sorted(want - got), "false", sorted(got - want))
+    assert len(both) >= 0.9 * len(got) and len(both) >= 0.9 * len(want)
+    assert len(names(both)) >= 0.9 * len(names(got)) and len(names(both)) >= 0.9 * len(names(want))
+
+
+def test_many_ordinary_words_are_joined_to_the_texts(spark):
+    """Beyond the bound of what is sent to every task the result is the same."""
+    df = spark.createDataFrame([(i, t, "", "") for i, (t, _) in enumerate(CASES + PLACED)], SCHEMA)
+    rows = {tuple(r) for r in find_personal(df).collect()}
+    assert {tuple(r) for r in find_personal(df, small_words=0).collect()} == rows
+    texts = {tuple(r) for r in redact_personal(df, "s").collect()}
+    assert {tuple(r) for r in redact_personal(df, "s", small_words=0).collect()} == texts
