@@ -45,18 +45,37 @@ def ship(spark: SparkSession) -> None:
     sc._jobweft_shipped = True
 
 
+def shipped_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver, such as a vocabulary, to all executors once; SparkFiles.get finds it there by the name returned."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_jobweft_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor loses nothing.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, a folder of this machine is taken.
+    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset and
+    all runs on one machine, as in tests, a folder of this machine is taken.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="jobweft-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "jobweft-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only for a local master, since executors elsewhere cannot see it."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobweft.session import shared_folder
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder of the session; of this machine only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="jobweft-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint folder of the session."""
+    return f"{shared_folder(spark, 'jobweft-stream-')}/{name}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
