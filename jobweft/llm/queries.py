@@ -8,7 +8,7 @@ from jobweft.llm.canonical import map_to_canonical
 from jobweft.llm.entity_linking import link_names, same_entity_pairs
 from jobweft.llm.leakage import leaked_items, leaked_passages
 from jobweft.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
-from jobweft.llm.packing import pack_summary, pack_texts
+from jobweft.llm.packing import pack_report, pack_texts
 from jobweft.llm.pii import find_personal, redact_personal
 from jobweft.llm.sql import SQL
 from jobweft.session import table
@@ -39,7 +39,7 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return pack_summary(p8_packed(spark, sf), table(spark, sf, "pack_sizes"))
+    return pack_report(table(spark, sf, "documents"), table(spark, sf, "pack_sizes"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from jobweft.llm import packing
-from jobweft.llm.packing import crossover, evolve, fitness, mutate, pack_summary, pack_texts, place
+from jobweft.llm.packing import crossover, evolve, fitness, lower_bound, mutate, pack_report, pack_summary, pack_texts, place
 
 pytestmark = pytest.mark.skipif(not __import__("os").path.exists(packing.VOCABULARY), reason="no vocabulary here")
 SCHEMA = "doc_id bigint, text string, tokens bigint, bin string, pack_id bigint"
@@ -55,3 +55,31 @@ def test_operators_keep_all_items():
     for child in (crossover(a, b, sizes, 100, rng), mutate(b, sizes, 100, rng), evolve(sizes, 100, [b], rng, 4, 20)[0]):
         assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 100 for x in child)
     assert fitness(evolve(sizes, 100, [b], rng, 4, 20)[0], sizes, 100) >= fitness(b, sizes, 100)
+
+
+def test_search_saves_bins_where_best_fit_leaves_a_gap():
+    rng = random.Random(300)
+    seed = found = least = 0
+    for k in range(4):
+        sizes = [rng.randint(60, 160) for _ in range(200)]
+        seed += len(place(sorted(range(200), key=lambda i: -sizes[i]), sizes, 300, []))
+        found += len(evolve(sizes, 300, [], random.Random(k), 6, 40)[0])
+        least += lower_bound(sizes, 300)
+    assert least <= found < seed and seed - found >= (seed - least) / 3
+
+
+def test_no_packing_is_below_the_bound():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(1, 7))]
+        best = min(len(place(list(order), sizes, 10, [])) for order in __import__("itertools").permutations(range(len(sizes))))
+        assert 1 <= lower_bound(sizes, 10) <= best
+    assert lower_bound([6, 6, 6], 10) == 3 and lower_bound([], 10) == 0
+
+
+def test_report_has_the_bins_of_best_fit_alone(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, " ".join(["word"] * rng.randint(3, 9)), 0, "clash", 0) for i in range(300)], SCHEMA)
+    packs = spark.createDataFrame(PACKS, "pack_id bigint, pack_name string, capacity_tokens bigint")
+    rows = {r["pack_id"]: r for r in pack_report(df, packs, block_items=100).collect()}
+    assert all(r["fewest"] <= r["bins"] <= r["seed_bins"] for r in rows.values()) and rows[1]["bins"] < rows[1]["seed_bins"]
