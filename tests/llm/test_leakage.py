@@ -1,6 +1,6 @@
 import random
 
-from jobweft.llm.leakage import leaked_items, leaked_passages, positional_index
+from jobweft.llm.leakage import in_runs, leaked_items, leaked_passages, positional_index
 from jobweft.llm.words import words
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id bigint, term bigint", "item_id bigint, text string, suite string, doc bigint"
@@ -37,6 +37,24 @@ def test_like_brute_force(spark):
     assert got == want and len(want) > 80
 
 
+def test_every_way_of_sending_terms_and_sequences(spark):
+    docs, items = sample()
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    want = brute(docs, items)
+    for bounds in ({"small_vocabulary": 0}, {"small_queries": 0}, {"small_vocabulary": 0, "small_queries": 0}):
+        assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, i, **bounds).collect()} == want
+    repeated = d.unionByName(d).unionByName(d)
+    assert {tuple(r) for r in leaked_passages(repeated, i).collect()} == {tuple(r) for r in leaked_passages(d, i).collect()}
+
+
+def test_runs_of_known_words():
+    import numpy as np
+
+    known, doc = np.array([1, 1, 0, 1, 1, 1, 1, 1, 0]) == 1, np.array([0, 0, 0, 0, 0, 1, 1, 1, 1])
+    assert in_runs(known, doc, 2).astype(int).tolist() == [1, 1, 0, 1, 1, 1, 1, 1, 0] and in_runs(known, doc, 3).astype(int).tolist() == [0, 0, 0, 0, 0, 1, 1, 1, 0]
+    assert in_runs(known, doc, 1).tolist() == known.tolist() and not in_runs(known[:2], doc[:2], 3).any()
+
+
 def test_other_sizes_and_empty(spark):
     docs, items = sample()
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
