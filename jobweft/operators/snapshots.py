@@ -2,7 +2,8 @@
 
 Rows are placed in hash buckets of their key. One digest per bucket and snapshot forms the leaves of
 a tree; each parent digests its children. Trees of consecutive snapshots are compared from the root
-down, and only rows of buckets whose digests differ are compared with one another.
+down. Then the table is read again for the rows of the buckets whose digests differ, and only these are
+shuffled by key and compared with one another.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobweft.session import checkpointed
+
 #: All blanks, those that do not break a line included.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 BLANKS = BLANK + "+"
@@ -37,6 +40,10 @@ def tree_depth(rows: int, snapshots: int, leaf_rows: int, bits: int) -> int:
     return depth
 
 
+#: Up to so many open leaves, 40 MB, are sent to the tasks that read the rows; beyond, rows are joined to them.
+SMALL_LEAVES = 2_000_000
+
+
 def snapshot_changes(
     df: DataFrame,
     *,
@@ -49,6 +56,7 @@ def snapshot_changes(
     leaf_rows: int = 4,
     depth: int | None = None,
     report: bool = False,
+    small_leaves: int = SMALL_LEAVES,
 ) -> DataFrame:
     """Rows (snapshot, keys, change_type) for what was added, removed or changed since the snapshot before.
 
@@ -56,13 +64,13 @@ def snapshot_changes(
     one snapshot the one with the highest ``order`` counts (null lowest; of equals the one with the
     larger content digest, so a rerun gives the same). A row with ``gone`` set is not live. Repeated
     rows change nothing, an empty table or a single snapshot gives no rows, columns not named here are
-    not read. Contents are compared by two independent 64-bit digests.
+    not read. Contents are compared by a 64-bit digest.
 
     ``bits`` is the fan-out of the tree as a power of two. ``depth`` defaults to what gives about
     ``leaf_rows`` rows to a leaf, from a row count that a columnar file answers from its footers. Repeated
-    rows are combined before they are shuffled; what is left is shuffled by leaf, and the later steps
-    keep that partitioning. A column common to many rows (one company) is spread over all leaves, since
-    the whole key is hashed.
+    rows are combined in each task before a shuffle. A column common to many rows (one company) is spread
+    over all leaves, since the whole key is hashed. Leaves that differ are sent to the tasks that read the
+    rows, if they are no more than ``small_leaves``.
     With ``report`` the result is instead one row per tree level and snapshot: nodes and differing nodes.
     """
     kinds = dict(df.dtypes)
@@ -70,66 +78,57 @@ def snapshot_changes(
     numbers = df.select(F.col(snapshot).alias("cur")).where("cur IS NOT NULL").distinct()
     # a row per snapshot, so one partition is enough for the order of the snapshots
     pairs = numbers.select("cur", F.lag("cur").over(Window.orderBy("cur")).alias("prev"), F.lead("cur").over(Window.orderBy("cur")).alias("next"))
+    pairs = checkpointed(pairs)
     if depth is None:
-        depth = tree_depth(df.count(), max(1, numbers.count()), leaf_rows, bits)
-    content = [squeezed(c) for c in compare]
-    rows = (
-        df.select(
-            F.col(snapshot).alias("_s"), *clean, F.col(order).alias("_o"), F.col(gone).isNull().alias("_live"),
-            F.xxhash64(*content).alias("_h1"), F.xxhash64(F.lit("second digest"), *content[::-1]).alias("_h2"),
-        )
-        .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ("_s", *keys)]))
-        .withColumn("_leaf", F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits * depth))
-    )
-    # repeated rows of one key are combined in each task before the first shuffle; the second brings the leaves together
-    last = (
-        rows.groupBy("_leaf", "_s", *keys)
-        .agg(F.max(F.struct("_o", "_live", "_h1", "_h2")).alias("_v"))
-        .where("_v._live")
-        .select("_leaf", "_s", *keys, "_v._h1", "_v._h2")
-        .repartition("_leaf")
-    )
-    # each live row is "now" for its own snapshot and "before" for the next one
-    sides = (
-        last.join(F.broadcast(pairs), last["_s"] == pairs["cur"])  # one row per snapshot
-        .select("_leaf", *keys, "_h1", "_h2", F.explode(F.array(
-            F.struct(F.when(F.col("prev").isNotNull(), F.col("cur")).alias("snap"), F.lit(True).alias("now")),
-            F.struct(F.col("next").alias("snap"), F.lit(False).alias("now")),
-        )).alias("_p"))
-        .where("_p.snap IS NOT NULL")
-        .select("_leaf", *keys, "_h1", "_h2", F.col("_p.snap").alias("_snap"), F.col("_p.now").alias("_now"))
-    )
-    digest = F.xxhash64(*keys, "_h1", "_h2")
-    level = sides.groupBy("_leaf", "_snap").agg(
-        F.bit_xor(F.when(F.col("_now"), digest)).alias("_d_now"), F.bit_xor(F.when(~F.col("_now"), digest)).alias("_d_before")
-    ).withColumnRenamed("_leaf", "_node")
+        depth = tree_depth(df.count(), max(1, pairs.count()), leaf_rows, bits)
+    keyed = df.select(
+        F.col(snapshot).alias("_s"), *clean, F.col(order).alias("_o"), F.col(gone).isNull().alias("_live"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(compare)],
+    ).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ("_s", *keys)]))
+    leaf = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits * depth)
+
+    def winners(rows: DataFrame, *carried: str) -> DataFrame:
+        """The live rows that count; versions and repeated rows of a key are combined in each task first."""
+        content = F.xxhash64(*[squeezed(f"_c{i}") for i in range(len(compare))])
+        best = rows.groupBy("_s", *keys, *carried).agg(F.max(F.struct("_o", "_live", content.alias("_h"))).alias("_v"))
+        return best.where("_v._live").select("_s", *keys, *carried, F.col("_v._h").alias("_h"))
+
+    level = winners(keyed).groupBy(leaf.alias("_node"), "_s").agg(F.bit_xor(F.xxhash64(*keys, "_h")).alias("_d"))
+    level = checkpointed(level)
     levels = [level]
     for _ in range(depth):
-        child = levels[0]
-        levels.insert(0, child.groupBy(F.shiftright("_node", bits).alias("_node"), "_snap").agg(
-            F.bit_xor(F.when(F.col("_d_now").isNotNull(), F.xxhash64("_node", "_d_now"))).alias("_d_now"),
-            F.bit_xor(F.when(F.col("_d_before").isNotNull(), F.xxhash64("_node", "_d_before"))).alias("_d_before"),
-        ))
-    differs = ~F.col("_d_now").eqNullSafe(F.col("_d_before"))
+        levels.insert(0, levels[0].groupBy(F.shiftright("_node", bits).alias("_node"), "_s").agg(F.bit_xor(F.xxhash64("_node", "_d")).alias("_d")))
+
+    def compared(nodes: DataFrame) -> DataFrame:
+        """(_node, _snap, differs): each digest is "now" for its own snapshot and "before" for the next one."""
+        d = nodes.join(F.broadcast(pairs), nodes["_s"] == pairs["cur"]).select("_node", "_d", F.explode(F.array(  # one row per snapshot
+            F.struct(F.when(F.col("prev").isNotNull(), F.col("cur")).alias("snap"), F.lit(True).alias("now")), F.struct(F.col("next").alias("snap"), F.lit(False).alias("now")))).alias("_p"))
+        d = d.where("_p.snap IS NOT NULL").groupBy("_node", F.col("_p.snap").alias("_snap"))
+        d = d.agg(F.max(F.when(F.col("_p.now"), F.col("_d"))).alias("_n"), F.max(F.when(~F.col("_p.now"), F.col("_d"))).alias("_b"))
+        return d.select("_node", "_snap", (~F.col("_n").eqNullSafe(F.col("_b"))).alias("differs"))
+
     if report:
         return reduce(DataFrame.unionByName, [
-            x.groupBy(F.col("_snap").alias(snapshot)).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(differs).alias("differing")).withColumn("level", F.lit(i))
+            compared(x).groupBy(F.col("_snap").alias(snapshot)).agg(F.count(F.lit(1)).alias("nodes"), F.count_if("differs").alias("differing")).withColumn("level", F.lit(i))
             for i, x in enumerate(levels)
         ])
-    open_nodes = levels[0].where(differs).select("_node", "_snap")
+    open_nodes = compared(levels[0]).where("differs").select("_node", "_snap")
     for below in levels[1:]:
-        above = open_nodes.select(F.col("_node").alias("_up"), "_snap")
-        open_nodes = (
-            below.where(differs).withColumn("_up", F.shiftright("_node", bits)).join(above, ["_up", "_snap"], "left_semi").select("_node", "_snap")
-        )
-    open_leaves = open_nodes.withColumnRenamed("_node", "_leaf")
-    both = (
-        sides.join(open_leaves, ["_leaf", "_snap"], "left_semi")
-        .groupBy("_leaf", "_snap", *keys)
-        .agg(*[F.max(F.when(F.col("_now") == now, F.col(h))).alias(f"{h}_{name}") for h in ("_h1", "_h2") for now, name in ((True, "now"), (False, "before"))])
-    )
-    kind = (
-        F.when(F.col("_h1_before").isNull(), "added").when(F.col("_h1_now").isNull(), "removed")
-        .when((F.col("_h1_now") != F.col("_h1_before")) | (F.col("_h2_now") != F.col("_h2_before")), "changed")
-    )
-    return both.select(F.col("_snap").alias(snapshot), *keys, kind.alias("change_type")).where("change_type IS NOT NULL")
+        # a node is looked at only where its parent differs, in the snapshot or the one before
+        above = open_nodes.join(F.broadcast(pairs), F.col("_snap") == F.col("cur")).select(F.col("_node").alias("_up"), F.explode(F.array("cur", "prev")).alias("_s")).distinct()
+        under = below.withColumn("_up", F.shiftright("_node", bits)).join(above, ["_up", "_s"], "left_semi")
+        parents = open_nodes.select(F.col("_node").alias("_up"), "_snap")
+        open_nodes = compared(under.drop("_up")).where("differs").withColumn("_up", F.shiftright("_node", bits)).join(parents, ["_up", "_snap"], "left_semi").select("_node", "_snap")
+    open_nodes = checkpointed(open_nodes)
+    # the rows to read: of an open leaf those of the snapshot, _now, and those of the one before, _then
+    sides = open_nodes.join(F.broadcast(pairs), F.col("_snap") == F.col("cur")).select("_node", F.explode(F.array(
+        F.struct(F.col("cur").alias("s"), F.lit(True).alias("now")), F.struct(F.col("prev").alias("s"), F.lit(False).alias("now")))).alias("_p"))
+    sides = checkpointed(sides.groupBy(F.col("_node").alias("_leaf"), F.col("_p.s").alias("_s")).agg(F.max("_p.now").alias("_now"), F.max(~F.col("_p.now")).alias("_then")))
+    wanted = F.broadcast(sides) if sides.count() <= small_leaves else sides
+    last = winners(keyed.withColumn("_leaf", leaf).join(wanted, ["_leaf", "_s"]), "_now", "_then")
+    own = Window.partitionBy(*keys).orderBy("_s")  # the snapshots of one key
+    d = last.join(F.broadcast(pairs), last["_s"] == pairs["cur"]).select(
+        *keys, "cur", "prev", "next", "_h", "_now", "_then", F.lag("_s").over(own).alias("_ps"), F.lag("_h").over(own).alias("_ph"), F.lead("_s").over(own).alias("_ns"))
+    here = F.when(~F.col("_now") | F.col("prev").isNull(), None).when(~F.col("_ps").eqNullSafe(F.col("prev")), "added").when(F.col("_ph") != F.col("_h"), "changed")
+    after = F.when(F.col("_then") & F.col("next").isNotNull() & ~F.col("_ns").eqNullSafe(F.col("next")), "removed")
+    both = d.select(*keys, F.explode(F.array(F.struct(F.col("cur").alias("s"), here.alias("kind")), F.struct(F.col("next").alias("s"), after.alias("kind")))).alias("_e"))
+    return both.where("_e.kind IS NOT NULL").select(F.col("_e.s").alias(snapshot), *keys, F.col("_e.kind").alias("change_type"))

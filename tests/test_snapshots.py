@@ -52,7 +52,7 @@ def test_empty_and_single(spark):
 @given(st.lists(st.tuples(st.sampled_from([1, 2, 4]), st.integers(1, 3), st.sampled_from(["a", "b", " b", "c"]), st.sampled_from(["t", "t ", "u"])), max_size=25))
 def test_like_brute_force_at_any_depth(spark, items):
     rows = [row(s, c, e, t, seq=i) for i, (s, c, e, t) in enumerate(items)]
-    assert changes(spark, rows, depth=1) == changes(spark, rows, depth=3) == brute(rows)
+    assert changes(spark, rows, depth=1) == changes(spark, rows, depth=3) == changes(spark, rows, small_leaves=0) == brute(rows)
 
 
 def test_only_differing_branches_are_opened(spark):
