@@ -8,6 +8,7 @@ shuffled by key and compared with one another.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,25 +20,25 @@ from jobweft.session import checkpointed
 #: All blanks, those that do not break a line included.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 BLANKS = BLANK + "+"
+#: Blanks that are more than one, or other than a plain space.
+UNEVEN = BLANK + r"{2,}|[\t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
+_BLANK_SIGNS = " \t\n\x0b\f\r\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def squeezed(c: Column | str) -> Column:
     """Outer blanks trimmed, inner blanks reduced to one, null as empty."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.trim(F.regexp_replace(c, BLANKS, " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(c, UNEVEN, " ")), F.lit(""))
 
 
 def stripped(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", "")
+    return F.btrim(c, F.lit(_BLANK_SIGNS))
 
 
-def tree_depth(rows: int, snapshots: int, leaf_rows: int, bits: int) -> int:
-    """Levels below the root, so that a leaf holds about leaf_rows rows of one snapshot."""
-    leaves, depth = max(1, rows // max(1, snapshots) // leaf_rows), 1
-    while (1 << (bits * depth)) < leaves and bits * depth < 28:
-        depth += 1
-    return depth
+def tree_bits(rows: int, snapshots: int, leaf_rows: int) -> int:
+    """Bits of a leaf's number, so that a leaf holds about leaf_rows rows of one snapshot."""
+    return min(28, max(1, round(math.log2(max(2, rows / max(1, snapshots) / leaf_rows)))))
 
 
 #: Up to so many open leaves, 40 MB, are sent to the tasks that read the rows; beyond, rows are joined to them.
@@ -66,8 +67,8 @@ def snapshot_changes(
     rows change nothing, an empty table or a single snapshot gives no rows, columns not named here are
     not read. Contents are compared by a 64-bit digest.
 
-    ``bits`` is the fan-out of the tree as a power of two. ``depth`` defaults to what gives about
-    ``leaf_rows`` rows to a leaf, from a row count that a columnar file answers from its footers. Repeated
+    ``bits`` is the fan-out of the tree as a power of two, ``depth`` its levels below the root; they default
+    to what gives about ``leaf_rows`` rows to a leaf, from a row count that a columnar file answers from its footers. Repeated
     rows are combined in each task before a shuffle. A column common to many rows (one company) is spread
     over all leaves, since the whole key is hashed. Leaves that differ are sent to the tasks that read the
     rows, if they are no more than ``small_leaves``.
@@ -79,12 +80,11 @@ def snapshot_changes(
     # a row per snapshot, so one partition is enough for the order of the snapshots
     pairs = numbers.select("cur", F.lag("cur").over(Window.orderBy("cur")).alias("prev"), F.lead("cur").over(Window.orderBy("cur")).alias("next"))
     pairs = checkpointed(pairs)
-    if depth is None:
-        depth = tree_depth(df.count(), max(1, pairs.count()), leaf_rows, bits)
+    leaf_bits = bits * depth if depth is not None else tree_bits(df.count(), pairs.count(), leaf_rows)
     keyed = df.select(
         F.col(snapshot).alias("_s"), *clean, F.col(order).alias("_o"), F.col(gone).isNull().alias("_live"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(compare)],
     ).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ("_s", *keys)]))
-    leaf = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits * depth)
+    leaf = F.shiftrightunsigned(F.xxhash64(*keys), 64 - leaf_bits)
 
     def winners(rows: DataFrame, *carried: str) -> DataFrame:
         """The live rows that count; versions and repeated rows of a key are combined in each task first."""
@@ -94,9 +94,10 @@ def snapshot_changes(
 
     level = winners(keyed).groupBy(leaf.alias("_node"), "_s").agg(F.bit_xor(F.xxhash64(*keys, "_h")).alias("_d"))
     level = checkpointed(level)
-    levels = [level]
-    for _ in range(depth):
-        levels.insert(0, levels[0].groupBy(F.shiftright("_node", bits).alias("_node"), "_s").agg(F.bit_xor(F.xxhash64("_node", "_d")).alias("_d")))
+    levels, up = [level], [0]  # from the root down, with the bits by which each is above the next
+    for left in range(leaf_bits, 0, -bits):
+        up.insert(0, min(bits, left))
+        levels.insert(0, levels[0].groupBy(F.shiftright("_node", up[0]).alias("_node"), "_s").agg(F.bit_xor(F.xxhash64("_node", "_d")).alias("_d")))
 
     def compared(nodes: DataFrame) -> DataFrame:
         """(_node, _snap, differs): each digest is "now" for its own snapshot and "before" for the next one."""
@@ -112,12 +113,13 @@ def snapshot_changes(
             for i, x in enumerate(levels)
         ])
     open_nodes = compared(levels[0]).where("differs").select("_node", "_snap")
-    for below in levels[1:]:
+    for below, step in zip(levels[1:], up):
+        open_nodes = checkpointed(open_nodes)
         # a node is looked at only where its parent differs, in the snapshot or the one before
         above = open_nodes.join(F.broadcast(pairs), F.col("_snap") == F.col("cur")).select(F.col("_node").alias("_up"), F.explode(F.array("cur", "prev")).alias("_s")).distinct()
-        under = below.withColumn("_up", F.shiftright("_node", bits)).join(above, ["_up", "_s"], "left_semi")
+        under = below.withColumn("_up", F.shiftright("_node", step)).join(above, ["_up", "_s"], "left_semi")
         parents = open_nodes.select(F.col("_node").alias("_up"), "_snap")
-        open_nodes = compared(under.drop("_up")).where("differs").withColumn("_up", F.shiftright("_node", bits)).join(parents, ["_up", "_snap"], "left_semi").select("_node", "_snap")
+        open_nodes = compared(under.drop("_up")).where("differs").withColumn("_up", F.shiftright("_node", step)).join(parents, ["_up", "_snap"], "left_semi").select("_node", "_snap")
     open_nodes = checkpointed(open_nodes)
     # the rows to read: of an open leaf those of the snapshot, _now, and those of the one before, _then
     sides = open_nodes.join(F.broadcast(pairs), F.col("_snap") == F.col("cur")).select("_node", F.explode(F.array(

@@ -1,7 +1,7 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from jobweft.operators.snapshots import snapshot_changes, tree_depth
+from jobweft.operators.snapshots import snapshot_changes, squeezed, stripped, tree_bits
 
 SCHEMA = "snapshot_no int, company_id bigint, external_id string, title string, department string, location string, workplace_type string, employment_type string, removed_at timestamp_ntz, load_seq bigint, change_type string"
 
@@ -61,5 +61,21 @@ def test_only_differing_branches_are_opened(spark):
     assert levels == {0: 1, 1: 1, 2: 1}
 
 
-def test_depth():
-    assert tree_depth(0, 0, 4, 4) == 1 and tree_depth(10**9, 10, 4, 4) == 7
+def test_bits_of_a_leaf():
+    assert tree_bits(0, 0, 4) == 1 and tree_bits(10**6, 10, 4) == 15 and tree_bits(10**15, 10, 4) == 28
+
+
+def test_trimming_like_a_pattern(spark):
+    texts = ["a", " a ", "\u00a0a\u2003b \t", "a  b", "a\nb", "", "\u3000", None, "x y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", stripped("t").alias("s"), squeezed("t").alias("q"))
+    for t, s, q in df.collect():
+        assert s == (None if t is None else t.strip()) and q == " ".join((t or "").split())
+
+
+def test_only_rows_of_open_leaves_are_compared(spark):
+    """One change among many rows: what is shuffled by key is a handful of rows."""
+    rows = [row(s, c, str(c), "t", seq=c) for s in (1, 2, 3) for c in range(3000)] + [row(3, 9999, "new")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [tuple(r) for r in snapshot_changes(df, depth=3).collect()] == [(3, 9999, "new", "added")]
+    report = {r["level"]: (r["nodes"], r["differing"]) for r in snapshot_changes(df, depth=3, report=True).where("snapshot_no = 3").collect()}
+    assert all(d == 1 for _, d in report.values()) and report[3][0] > 1500
