@@ -15,6 +15,21 @@ COUNTRY_ALIASES = {
     "ae": ["uae", "emirates"], "nl": ["holland", "the netherlands"], "de": ["deutschland"], "kr": ["korea", "republic of korea"], "kp": ["dprk"],
     "ru": ["russian federation"], "cz": ["czech republic"], "ci": ["ivory coast"], "mm": ["burma"], "cv": ["cape verde"], "sz": ["swaziland"], "mk": ["macedonia"],
     "va": ["vatican", "holy see"], "tl": ["east timor"], "vn": ["viet nam"], "tr": ["turkiye"], "sy": ["syrian arab republic"],
+    "cd": ["democratic republic of the congo", "congo-kinshasa"], "cg": ["republic of the congo", "congo-brazzaville"], "tw": ["republic of china"], "tz": ["united republic of tanzania"],
+    "bo": ["plurinational state of bolivia"], "ve": ["bolivarian republic of venezuela"], "ir": ["islamic republic of iran"], "la": ["lao people's democratic republic"], "md": ["republic of moldova"],
+}
+# First names of countries that the rule of country_table doesn't give, and codes of territories that are no country here.
+COUNTRY_NAMES = {
+    "cd": "dr congo", "cg": "congo", "ci": "cote d'ivoire", "cv": "cabo verde", "cz": "czechia", "mk": "north macedonia", "mm": "myanmar", "mo": "macao", "ps": "palestine", "sz": "eswatini",
+    "tr": "turkey", "vc": "saint vincent and the grenadines", "vi": "us virgin islands", "va": "vatican city", "tl": "timor-leste", "hk": "hong kong",
+}
+NO_COUNTRIES = frozenset("ai aq as ax bl bq bv cc ck cx fk gs hm io mf mp nf nu pm pn sh sj sx tf tk um wf yt".split())
+# Local and misspelt names, and the name that is looked for instead.
+SPELLINGS = {
+    "espana": "spain", "deutschland": "germany", "osterreich": "austria", "suisse": "switzerland", "schweiz": "switzerland", "italia": "italy", "brasil": "brazil", "mexico": "mexico",
+    "nippon": "japan", "nihon": "japan", "holland": "netherlands", "the netherlands": "netherlands", "slowaki": "slovakia", "slowakia": "slovakia", "british colombia": "british columbia",
+    "phillipines": "philippines", "philipines": "philippines", "singapor": "singapore", "south korea": "korea, republic of", "united arab emirate": "united arab emirates",
+    "england": "united kingdom", "scotland": "united kingdom", "wales": "united kingdom", "britain": "united kingdom", "great britain": "united kingdom",
 }
 # Codes of the states and territories of the United States.
 US_STATES = (
@@ -43,17 +58,22 @@ REGIONS = {
 
 
 def country_table(spark: SparkSession) -> dict[str, str]:
-    """Name or alias to lower-case code: the English names that the Java runtime has for all ISO codes, and the aliases."""
+    """Name, alias or code to lower-case code. Names are the runtime's English ones made plain: no accents, marks, abbreviations or words in brackets; those above go before."""
     locale = spark._jvm.java.util.Locale
     names = {}
-    for code in locale.getISOCountries():
-        names[squeezed_key(locale("", code).getDisplayCountry(locale.ENGLISH))] = code.lower()
-        names[code.lower()] = code.lower()
+    for code in (c.lower() for c in locale.getISOCountries()):
+        if code not in NO_COUNTRIES:
+            own = COUNTRY_NAMES.get(code) or re.sub(r"\bst\. ", "saint ", re.sub(r"\s*\(.*?\)| sar china$", "", unaccented(locale("", code.upper()).getDisplayCountry(locale.ENGLISH)).lower())).replace("&", "and")
+            names[squeezed_key(own)] = names[code] = code
     for code, aliases in COUNTRY_ALIASES.items():
         names |= {squeezed_key(a): code for a in aliases}
     return names
 
 
+def unaccented(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 def squeezed_key(text: str) -> str:
     return re.sub(r"\s+", " ", text.strip().lower())
 
@@ -68,15 +88,50 @@ def region_codes(term: str) -> list[str]:
     return REGIONS.get(squeezed_key(re.sub(r"[^a-z ]+", " ", plain.lower())), "").split()
 
 
-def place_filter(jobs: DataFrame, term: str, *, key: str = "id", location: str = "location") -> DataFrame:
-    """The rows that a location term means: those of the country it names, else of the region, else with it among their tokens; more than four words are looked for as they stand."""
-    codes = [c] if (c := resolve_country(jobs.sparkSession, term)) else region_codes(term)
-    if codes:
-        named = with_countries(jobs, location, key).where(F.col("country").isin(codes)).select(key).distinct()
-        return jobs.join(named, key, "left_semi")
+def canonical_spelling(term: str) -> str | None:
+    return SPELLINGS.get(squeezed_key(unaccented(term)))
+
+
+def place_condition(location: Column, term: str, spark: SparkSession) -> Column:
+    """Whether a location is what a term means: in the country it names, else in the region, else a known other spelling of either, else with it among its tokens; more than four words are looked for as they stand."""
+    codes = [c] if (c := resolve_country(spark, term)) else region_codes(term)
     plain = squeezed_key(term)
-    match = F.array_contains(location_tokens(F.col(location)), plain)
-    return jobs.where(match | F.contains(F.lower(location), F.lit(plain)) if len(plain.split()) > 4 else match)
+    if not codes and (fixed := canonical_spelling(term)):
+        codes, plain = [c] if (c := resolve_country(spark, fixed)) else [], fixed
+    if codes:
+        return in_countries(location, codes, country_table(spark))
+    match = F.array_contains(location_tokens(location), plain)
+    return match | F.contains(F.lower(location), F.lit(plain)) if len(plain.split()) > 4 else match
+
+
+def place_filter(jobs: DataFrame, term: str, *, location: str = "location") -> DataFrame:
+    """The rows that a location term means."""
+    return jobs.where(F.coalesce(place_condition(F.col(location), term, jobs.sparkSession), F.lit(False)))
+
+
+def _words(location: Column) -> Column:
+    """The words of a location: dots dropped, anything but plain letters, digits and apostrophes between them."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.lower(location)), r"\s+", " "), r"\.", "")
+    return F.filter(F.split(F.regexp_replace(text, "[^a-z0-9' ]+", " "), r"\s+"), lambda w: w != "")
+
+
+def _last_code(location: Column) -> Column:
+    """A two-letter code at the end, which is no bare state of the United States unless it is written twice; null if there is none."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.lower(location)), r"\s+", " "), r"\.", "")
+    parts = F.filter(F.transform(F.split(text, r"[,/]|\s+-\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    last, before = F.get(parts, F.size(parts) - 1), F.get(parts, F.size(parts) - 2)
+    bare = (F.size(parts) <= 2) & last.isin(US_STATES)
+    return F.when(last.rlike("^[a-z]{2}$") & (~bare | F.coalesce(last == before, F.lit(False))), last)
+
+
+def in_countries(location: Column, codes: list[str], table: dict[str, str]) -> Column:
+    """Whether a location names one of the countries, by the rule of with_countries, without a join."""
+    spelt = F.concat(F.lit(" "), F.array_join(_words(location), " "), F.lit(" "))
+    names = sorted(n for n, c in table.items() if c in codes and len(n) > 2 and re.fullmatch("[a-z0-9' ]+", n) and len(n.split()) <= 4)
+    named = F.lit(False)
+    for n in names:
+        named = named | F.contains(spelt, F.lit(f" {n} "))
+    return named | F.coalesce(_last_code(location).isin(*codes), F.lit(False))
 
 
 def location_tokens(location: Column) -> Column:
@@ -96,15 +151,9 @@ def with_countries(df: DataFrame, location: str, key: str, out: str = "country")
     """
     spark = df.sparkSession
     names = spark.createDataFrame(sorted(country_table(spark).items()), "name string, code string")
-    text = F.regexp_replace(F.regexp_replace(F.trim(F.lower(F.col(location))), r"\s+", " "), r"\.", "")
-    words = F.filter(F.split(F.regexp_replace(text, "[^a-z0-9' ]+", " "), r"\s+"), lambda w: w != "")
-    base = df.where(F.col(location).isNotNull()).select(F.col(key), words.alias("_w"), F.filter(F.transform(F.split(text, r"[,/]|\s+-\s+"), lambda s: F.trim(s)), lambda s: s != "").alias("_s"))
-    base = base.where(F.size("_w") > 0)
+    base = df.where(F.col(location).isNotNull()).select(F.col(key), _words(F.col(location)).alias("_w"), _last_code(F.col(location)).alias("_code")).where(F.size("_w") > 0)
     grams = F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, 5)]), lambda n: F.transform(
         F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " "))))
     named = base.select(key, F.explode(F.array_distinct(grams)).alias("name")).where(F.length("name") > 2)
-    last, before = F.get("_s", F.size("_s") - 1), F.get("_s", F.size("_s") - 2)
-    bare = (F.size("_s") <= 2) & last.isin(US_STATES)
-    coded = base.where(last.rlike("^[a-z]{2}$") & (~bare | F.coalesce(last == before, F.lit(False)))).select(key, last.alias("name"))
-    coded = coded.join(names.where("name = code"), "name").select(key, F.col("code").alias(out))
+    coded = base.where("_code IS NOT NULL").join(names.where("name = code"), F.col("_code") == F.col("name")).select(key, F.col("code").alias(out))
     return named.join(names, "name").select(key, F.col("code").alias(out)).unionByName(coded).distinct()

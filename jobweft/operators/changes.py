@@ -37,3 +37,18 @@ def outbox_split(dirty: DataFrame, removed: str = "removed_at") -> tuple[DataFra
 def fan_out(jobs: DataFrame, changed_companies: DataFrame) -> DataFrame:
     """All live postings of the companies that changed."""
     return jobs.where("removed_at IS NULL").join(changed_companies.select(F.col("id").alias("company_id")).distinct(), "company_id", "left_semi")
+
+
+def cleared(rows: DataFrame, batch: DataFrame, stamp: str = "index_dirty_at", key: str = "id") -> DataFrame:
+    """The rows after a batch was taken up: its rows lose their stamp unless they were touched again behind the batch's last stamp, so that nothing is lost."""
+    done = batch.select(F.col(key).alias("_k")).distinct()
+    last = batch.agg(F.max(stamp)).scalar()
+    d = rows.join(done, F.col(key) == F.col("_k"), "left")
+    return d.select(*[F.when(F.col("_k").isNull() | (F.col(stamp) > last), F.col(stamp)).alias(c) if c == stamp else F.col(c) for c in rows.columns])
+
+
+def quarantined(rows: DataFrame, keys: Sequence[str], texts: Sequence[str], most_bytes: int = 2600) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be stored, and those that cannot with the reason: a null key, or an indexed text over so many bytes."""
+    reason = F.when(F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x), "null key").when(F.exists(F.array(*[F.coalesce(F.octet_length(c) > most_bytes, F.lit(False)) for c in texts]), lambda x: x), "text too long")
+    d = rows.withColumn("reason", reason)
+    return d.where("reason IS NULL").drop("reason"), d.where("reason IS NOT NULL")

@@ -22,10 +22,10 @@ def cascade(left: DataFrame, right: DataFrame, steps: Sequence[tuple[str, Column
 
 
 def prefix_pairs(df: DataFrame, key: str, name: Column, block: int = 10) -> DataFrame:
-    """Pairs (a, b) of keys whose names agree in the first characters and one of which begins the other."""
-    d = df.select(F.col(key).alias("k"), name.alias("n")).where(F.length("n") >= block).withColumn("_b", F.substring("n", 1, block)).distinct()
-    left, right = d.select(F.col("k").alias("a"), F.col("n").alias("na"), "_b"), d.select(F.col("k").alias("b"), F.col("n").alias("nb"), "_b")
-    return left.join(right, "_b").where((F.col("a") < F.col("b")) & (F.startswith(F.col("na"), F.col("nb")) | F.startswith(F.col("nb"), F.col("na")))).select("a", "b")
+    """Pairs (a, b) of keys whose names have so many characters or more and one of which begins the other: each name meets the names that are one of its own beginnings."""
+    d = df.select(F.col(key).alias("k"), name.alias("n")).where(F.length("n") >= block).distinct()
+    beginnings = d.select(F.col("k").alias("long"), F.explode(F.transform(F.sequence(F.lit(block), F.length("n")), lambda i: F.substr("n", F.lit(1), i))).alias("n"))
+    return beginnings.join(d, "n").where("long <> k").select(F.least("long", "k").alias("a"), F.greatest("long", "k").alias("b")).distinct()
 
 
 def survivors(df: DataFrame, group: Sequence[str], key: str, weight: str) -> DataFrame:

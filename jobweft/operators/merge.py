@@ -124,8 +124,10 @@ def absence(
     ])
 
 
-def sync_counts(stored: DataFrame, snapshot: DataFrame, keys: Sequence[str] = ("company_id", "external_id")) -> DataFrame:
-    """One row (added, updated): keys of the snapshot that are not among the live stored ones, and those that are."""
+def sync_counts(stored: DataFrame, snapshot: DataFrame, keys: Sequence[str] = ("company_id", "external_id"), limit: int = 3) -> DataFrame:
+    """One row (added, updated, removed): keys of the snapshot that are not among the live stored ones, those that are, and live rows that this absence retires."""
     live = stored.where("removed_at IS NULL").dropna(subset=list(keys)).select(*keys).distinct().withColumn("_live", F.lit(True))
     new = snapshot.dropna(subset=list(keys)).select(*keys).distinct()
-    return new.join(live, list(keys), "left").agg(F.count_if(F.col("_live").isNull()).alias("added"), F.count_if("_live").alias("updated"))
+    counts = new.join(live, list(keys), "left").agg(F.count_if(F.col("_live").isNull()).alias("added"), F.count_if("_live").alias("updated"))
+    after = absence(stored.where("removed_at IS NULL"), snapshot, keys=keys, limit=limit, as_of=F.current_timestamp())
+    return counts.select("added", "updated", after.where("removed_at IS NOT NULL").agg(F.count(F.lit(1))).scalar().alias("removed"))

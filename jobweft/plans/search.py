@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweft.functions import classify
 from jobweft.functions.patterns import found
-from jobweft.functions.places import ALIAS_GROUPS, location_tokens
+from jobweft.functions.places import ALIAS_GROUPS, place_condition
 from jobweft.functions.windows import within
 
 # Spellings under which a work mode may be stored.
@@ -59,6 +59,8 @@ class Filters:
     location: str | Sequence[str] | None = None
     posted: str | None = None
     remote: bool | None = None
+    remote_worldwide: bool | None = None
+    visa: str | None = None
     company_id: int | Sequence[int] | None = None
     ats: str | Sequence[str] | None = None
     as_of: str = "2025-06-01 00:00:00"
@@ -80,6 +82,10 @@ class Filters:
         parts.append(within(F.col("created_at"), self.posted, self.as_of))
         if self.remote:
             parts.append(F.col("is_remote"))
+        if self.remote_worldwide:
+            parts.append(F.col("remote_worldwide"))
+        if self.visa:
+            parts.append(F.lower("visa_sponsorship") == self.visa.strip().lower())
         if self.company_id is not None:
             parts.append(F.col("company_id").isin(*([self.company_id] if isinstance(self.company_id, int) else self.company_id)))
         if boards := listed(self.ats):
@@ -90,7 +96,7 @@ class Filters:
         group = next((g for g in ALIAS_GROUPS if place in g), [place])
         if self.location_mode == "substring":
             return reduce(lambda a, b: a | b, [found(F.col("location"), rf"\b{re.escape(p)}\b") if len(p) <= 4 and len(group) > 1 else F.contains(F.lower("location"), F.lit(p)) for p in group])
-        return F.arrays_overlap(location_tokens(F.col("location")), F.array(*[F.lit(p) for p in group]))
+        return place_condition(F.col("location"), place, SparkSession.active())
 
 
 def canonical_employment(value: str) -> str | None:
@@ -103,7 +109,9 @@ def prepared(jobs: DataFrame) -> DataFrame:
     """Postings with the derived columns that the filters read; in production they are written once, at load."""
     return jobs.select(
         "id", "company_id", F.lower(F.trim("ats")).alias("ats"), "title", "department", "location", "url", "experience_level", "created_at", "removed_at", "random_rank",
-        F.coalesce("is_remote", F.lit(False)).alias("is_remote"), classify.workplace_type(F.col("workplace_type")).alias("workplace"),
+        F.coalesce("is_remote", F.lit(False)).alias("is_remote"), "visa_sponsorship", *([F.coalesce("remote_worldwide", F.lit(False)).alias("remote_worldwide")] if "remote_worldwide" in jobs.columns else [
+            classify.is_worldwide(F.col("title"), F.col("location"), F.col("description"), F.coalesce("is_remote", F.lit(False))).alias("remote_worldwide")]),
+        classify.workplace_type(F.col("workplace_type")).alias("workplace"),
         classify.employment_type(F.col("employment_type")).alias("employment"), tokens("title", "department", "location").alias("search_tokens"))
 
 
@@ -120,6 +128,42 @@ def top_k(jobs: DataFrame, companies: DataFrame, filters: Filters, limit: int =
     return hits.join(names, "company_id", "left").select("id", *shown, "company_name")
 
 
+def named_like(jobs: DataFrame, companies: DataFrame, query: str) -> DataFrame:
+    """(id) of live postings with each term of a query in title, department or the company's name, as they stand: the way without a text index."""
+    terms = [t for t in re.split(r"[\s,]+", query.lower()) if t]
+    names = companies.dropDuplicates(["id"]).select(F.col("id").alias("company_id"), "company_name")
+    d = jobs.where("removed_at IS NULL").select("id", "company_id", "title", "department").join(names, "company_id", "left")
+    text = lambda t: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(t)), F.lit(False)) for c in ("title", "department", "company_name")])
+    return d.where(reduce(lambda a, b: a & b, [text(t) for t in terms], F.lit(True))).select("id").distinct()
+
+
+def companies_like(companies: DataFrame, query: str) -> DataFrame:
+    """Companies whose name holds the query, whatever its case."""
+    return companies.where(F.contains(F.lower("company_name"), F.lit(query.strip().lower()))).select("id", "company_name").distinct()
+
+
+def relevant(jobs: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """The best matches of a query: most of its words found, then those of the title, then the title nothing but the query, then the newest; ties by id.
+
+    A posting with none of the words is no match. Words are compared as in text_match.
+    """
+    words = [w for w in re.sub(r"[^\w-]+", " ", query.lower()).split()]
+    live = jobs.where("removed_at IS NULL").select("id", "title", "department", "location", "created_at").distinct()
+    stems = [stem(F.lit(w)) for w in words]
+    hits = lambda t: reduce(lambda a, b: a + b, [F.array_contains(t, w).cast("int") for w in stems])
+    d = live.withColumns({"_all": tokens("title", "department", "location"), "_title": tokens("title")}).withColumns({"found": hits(F.col("_all")), "in_title": hits(F.col("_title")), "exact": F.size("_title") == len(words)})
+    d = d.where("found > 0").orderBy(F.desc("found"), F.desc("in_title"), F.desc("exact"), F.desc_nulls_last("created_at"), "id").limit(limit)
+    return d.select("id", "title", "found", "in_title", "exact")
+
+
+def response(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Postings as a service answers them: amounts as text, missing marks false, company and pay nested."""
+    c = companies.dropDuplicates(["id"]).select(F.col("id").alias("company_id"), F.struct("id", F.col("company_name").alias("name"), "domain", "ats_slug", "logo_url").alias("company"))
+    pay = F.struct(F.col("salary_min").cast("string").alias("min"), F.col("salary_max").cast("string").alias("max"), F.col("salary_currency").alias("currency"), F.col("salary_interval").alias("interval")).alias("salary")
+    d = jobs.dropDuplicates(["id"]).join(c, "company_id", "left")
+    return d.select("id", "external_id", "title", "location", F.coalesce("is_remote", F.lit(False)).alias("is_remote"), F.nullif("visa_sponsorship", F.lit("")).alias("visa_sponsorship"), F.nullif("experience_level", F.lit("")).alias("experience_level"), pay, "company")
+
+
 def capped_count(jobs: DataFrame, filters: Filters, cap: int = 1000) -> DataFrame:
     """One row (total, is_capped): counting stops behind the cap."""
     n = matching(jobs, filters).limit(cap + 1).agg(F.count(F.lit(1)).alias("n"))

@@ -256,17 +256,16 @@ def free_text_pay(text: Column) -> Column:
     return F.when(F.size(amounts) > 0, F.struct(F.get(amounts, F.lit(0)).alias("low"), F.get(amounts, F.lit(1)).alias("high"), currency.alias("currency"), period.alias("interval")))
 
 
-def page_state(html: Column, status: Column, url: Column, final_url: Column) -> Column:
-    """True if a page still shows its posting, false if it evidently does not, null if nothing tells."""
-    from jobweft.functions.text import redirected_off
-
-    # Phrases of a page whose posting is gone, and of pages that only look so.
-    gone = r"(?i)no longer (?:available|accepting|active|open)|position (?:has been )?(?:filled|closed)|job (?:has )?(?:expired|closed)|posting (?:has )?(?:expired|closed)|page not found|this job is closed"
-    not_evidence = r"(?i)enable javascript|captcha|access denied|too many requests|unusual traffic|service unavailable|are you a robot"
-    return (
-        F.when(status.isin(404, 410), False).when(status.isin(403, 429) | (status >= 500), None).when(html.rlike(not_evidence), None)
-        .when(redirected_off(url, final_url), False).when(html.rlike(gone), False).when(F.length(html) < 200, None).otherwise(True)
-    )
+def json_ld_pay(html: Column) -> Column:
+    """Struct (low, high, currency, interval) of the pay of a page's JSON-LD: bounds, else one value for both; null if it names no amount."""
+    ld = json_ld_posting(html)
+    get = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(ld, f"$.baseSalary{p}"), F.lit("")) for p in paths])
+    low, high = get(".value.minValue", ".minValue", ".value.value"), get(".value.maxValue", ".maxValue", ".value.value")
+    single = F.when(get(".value").rlike(r"^-?[0-9.]+$"), get(".value"))
+    # Units of the vocabulary.
+    units = F.create_map(*[F.lit(x) for k, v in {"YEAR": "year", "MONTH": "month", "WEEK": "week", "DAY": "day", "HOUR": "hour"}.items() for x in (k, v)])
+    low, high = F.coalesce(low, single), F.coalesce(high, single)
+    return F.when(low.isNotNull() | high.isNotNull(), F.struct(low.alias("low"), high.alias("high"), get(".currency").alias("currency"), units[F.upper(get(".value.unitText", ".unitText"))].alias("interval")))
 
 
 def first_site_wins(pages: DataFrame, key: str, order: str) -> DataFrame:

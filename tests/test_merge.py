@@ -34,7 +34,7 @@ def test_insert_update_and_last_wins(spark):
     got = by_key(merge(s, n, POLICIES["sync"], order="seq", as_of=now()))
     assert set(got) == {"a", "b"} and got["a"]["_action"] == "updated" and got["b"]["_action"] == "inserted"
     assert (got["a"]["title"], got["a"]["description"], got["a"]["salary_min"], got["a"]["visa_sponsorship"], got["a"]["experience_level"], got["a"]["absent_syncs"], got["a"]["last_seen_at"]) == ("new", "text", "10", "yes", "senior", 0, T1)
-    assert [tuple(r) for r in sync_counts(s, n).collect()] == [(1, 1)]
+    assert [tuple(r) for r in sync_counts(s, n).collect()] == [(1, 1, 0)]
 
 
 def test_salary_overwrite_and_revival(spark):
@@ -42,7 +42,7 @@ def test_salary_overwrite_and_revival(spark):
     n = snap(spark, ("a", "t", None, "55", None, None))
     got = by_key(merge(s, n, POLICIES["sync"], order="seq", as_of=now()))["a"]
     assert got["salary_min"] == "55" and got["removed_at"] is None and got["_action"] == "revived"
-    assert [tuple(r) for r in sync_counts(s, n).collect()] == [(1, 0)]
+    assert [tuple(r) for r in sync_counts(s, n).collect()] == [(1, 0, 0)]
 
 
 def test_gap_fill_keeps_what_is_there(spark):

@@ -75,9 +75,6 @@ def test_pages(spark):
     assert df.select(feeds.description_of(F.col("h")).alias("x")).first()["x"] == "d"
     pay = lambda t: spark.createDataFrame([(t,)], "t string").select(feeds.free_text_pay(F.col("t")).alias("x")).first()["x"]
     assert tuple(pay("$90k–$120k / year")) == (90000.0, 120000.0, "USD", "year") and pay("competitive") is None
-    cases = [(404, "x", None, False), (403, "x", None, None), (200, "Enable JavaScript", None, None), (200, "This position has been filled" + "x" * 300, None, False), (200, "y" * 300, None, True), (200, "y" * 300, "https://b.example/", False), (200, "short", None, None)]
-    df = spark.createDataFrame([(s, h, "https://b.example/job/abc12345", f) for s, h, f, _ in cases], "s int, h string, u string, f string")
-    assert [r["x"] for r in df.select(feeds.page_state(F.col("h"), F.col("s"), F.col("u"), F.col("f")).alias("x")).collect()] == [c[3] for c in cases]
     board = spark.createDataFrame([(" GRNHSE",), ("lever",), ("nope",)], "a string").select(feeds.board_of(F.col("a")).alias("b")).collect()
     assert [r["b"] for r in board] == ["greenhouse", "lever", None]
 
