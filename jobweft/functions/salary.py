@@ -40,6 +40,7 @@ def salary_in_text(text: Column) -> Column:
         around = F.lower(F.substring(text, F.greatest(at - 60, F.lit(1)), F.length(part(0)) + F.least(at - 1, F.lit(60)) + 80))
         period = F.lit(interval) if interval else F.when(around.rlike(PERIODS[0][0]), "hourly").when(around.rlike(PERIODS[1][0]), "monthly").when(around.rlike(PERIODS[2][0]), "weekly").otherwise("yearly")
         code = codes[F.upper(F.coalesce(*[part(i) for i in currency_at]))]
-        tries.append(F.struct((number(low_at) * k_low).alias("low"), (number(high_at) * k_high).alias("high"), F.coalesce(code, F.lit("USD")).alias("currency"), period.alias("interval")))
+        # the groups of a shape are taken only where it occurs at all
+        tries.append(F.when(text.rlike(shape), F.struct((number(low_at) * k_low).alias("low"), (number(high_at) * k_high).alias("high"), F.coalesce(code, F.lit("USD")).alias("currency"), period.alias("interval"))))
     floors = F.create_map(*[F.lit(x) for k, v in FLOORS.items() for x in (k, v)])
     return F.get(F.filter(F.array(*tries), lambda s: s["low"].isNotNull() & (s["low"] <= s["high"]) & (s["high"] <= CEILING) & (s["low"] >= floors[s["interval"]])), F.lit(0))

@@ -1,9 +1,10 @@
 """Quantities recorded in different units: read every statement of a unit, reconcile them, convert.
 
-A pay bound obeys the identity  usd_year = amount x scale x currency factor x periods a year. Currency,
-period and scale may each be stated several times in a row: beside the amount, beside the other bound,
-in the unit fields. Every combination of statements is a candidate; the one with the least sum of log
-residuals against all statements is taken, and a row where different factors tie is flagged.
+A pay bound obeys the identity  usd_year = amount x scale x currency factor x periods a year, and the two
+bounds of a row are about the same amount. Currency, period and scale may each be stated several times in
+a row: beside the amount, beside the other bound, in the unit fields. Every combination of statements for
+both bounds is a candidate; the one with the least sum of log residuals, against all statements and, at
+half their weight since the bounds differ anyway, between the two amounts, is taken, and a row where different factors tie is flagged.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweft.operators.snapshots import BLANKS, stripped
+from jobweft.operators.timestamps import held
 
 # Spellings of currencies, as patterns on lower-case text; the longer spelling first.
 CURRENCY_SPELLINGS = {
@@ -83,17 +85,40 @@ def read_amounts(text: Column) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, F.lit(AMOUNT), 1).alias("amount"), F.regexp_extract_all(text, F.lit(AMOUNT), 2).alias("suffix"))
 
 
-def _least(candidates: Column, statements: Column, log_factor: Column) -> Column:
-    """Struct (residual, place, code) of the candidate nearest to all statements; the first written wins a tie."""
-    scored = F.transform(candidates, lambda c, i: F.struct(
-        F.round(F.aggregate(statements, F.lit(0.0), lambda acc, s: acc + F.abs(log_factor[c] - log_factor[s])), 9).alias("residual"), i.alias("place"), c.alias("code"),
-    ))
-    return F.array_min(scored)
+def _units_of(curs: str, pers: str) -> Column:
+    """Array of the distinct pairs (c, p) of a currency and a period that a bound's statements allow; one of nulls if there are none."""
+    pairs = F.flatten(F.transform(F.array_distinct(curs), lambda c: F.transform(F.array_distinct(pers), lambda p: F.struct(c.alias("c"), p.alias("p")))))
+    return F.when(F.size(pairs) > 0, pairs).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("p"))))
 
 
-def _tied(candidates: Column, statements: Column, log_factor: Column, best: Column) -> Column:
-    residual = lambda c: F.round(F.aggregate(statements, F.lit(0.0), lambda acc, s: acc + F.abs(log_factor[c] - log_factor[s])), 9)
-    return F.exists(candidates, lambda c: (residual(c) <= best["residual"]) & (F.abs(log_factor[c] - log_factor[best["code"]]) > 1e-9))
+def _apart(statements: str, chosen: Column, log_factor: Column) -> Column:
+    """Sum of the log residuals of the statements against the one chosen."""
+    return F.aggregate(statements, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.abs(log_factor[chosen] - log_factor[s]), F.lit(0.0)))
+
+
+def reconciled(d: DataFrame, logs: dict[str, Column], keep: list[str]) -> DataFrame:
+    """The kept columns with _lo and _hi, the units (c, p) chosen for both bounds, residual and non_unique.
+
+    Needs _v_min and _v_max, the log of each amount, and _cs_ and _ps_ of both, their statements, the nearest
+    first. ``residual`` is what contradicts among the statements. Of equal sums the combination written first
+    counts. Each step is computed once, and only for rows that contradict themselves.
+    """
+    plain = (F.size(F.array_distinct("_cs_min")) <= 1) & (F.size(F.array_distinct("_ps_min")) <= 1) & (F.size(F.array_distinct("_cs_max")) <= 1) & (F.size(F.array_distinct("_ps_max")) <= 1)
+    used = [*keep, "_v_min", "_v_max", *[f"_{k}s_{n}" for k in "cp" for n in ("min", "max")]]
+    first = lambda n: F.struct(F.get(f"_cs_{n}", F.lit(0)).alias("c"), F.get(f"_ps_{n}", F.lit(0)).alias("p"))
+    d = held(d, *used, F.when(~plain, _units_of("_cs_min", "_ps_min")).alias("_xs"), F.when(~plain, _units_of("_cs_max", "_ps_max")).alias("_ys"))
+    d = held(d, *used, F.flatten(F.transform("_xs", lambda x: F.transform("_ys", lambda y: F.struct(x.alias("x"), y.alias("y"))))).alias("_all"))
+    factor = lambda u: F.coalesce(logs["currency"][u["c"]] + logs["interval"][u["p"]], F.lit(0.0))
+    d = held(d, *used, F.transform("_all", lambda u, i: F.struct(
+        (_apart("_cs_min", u["x"]["c"], logs["currency"]) + _apart("_ps_min", u["x"]["p"], logs["interval"]) + _apart("_cs_max", u["y"]["c"], logs["currency"]) + _apart("_ps_max", u["y"]["p"], logs["interval"])).alias("residual"),
+        factor(u["x"]).alias("fx"), factor(u["y"]).alias("fy"), i.alias("place"), u["x"].alias("x"), u["y"].alias("y"))).alias("_each"))
+    between = lambda u: F.coalesce(F.abs(F.col("_v_min") + u["fx"] - F.col("_v_max") - u["fy"]), F.lit(0.0))
+    d = held(d, *used, F.transform("_each", lambda u: F.struct(F.round(u["residual"] + between(u) / 2, 9).alias("total"), u["place"].alias("place"), u.alias("u"))).alias("_scored"))
+    d = held(d, *used, "_scored", F.array_min(F.transform("_scored", lambda s: F.struct(s["total"].alias("total"), s["place"].alias("place"), s["u"].alias("u")))).alias("_best"))
+    other = lambda s: (F.abs(s["u"]["fx"] - F.col("_best.u.fx")) > 1e-9) | (F.abs(s["u"]["fy"] - F.col("_best.u.fy")) > 1e-9)
+    return d.select(
+        *keep, F.coalesce("_best.u.x", first("min")).alias("_lo"), F.coalesce("_best.u.y", first("max")).alias("_hi"), F.coalesce(F.round("_best.u.residual", 9), F.lit(0.0)).alias("residual"),
+        F.coalesce(F.exists("_scored", lambda s: (s["total"] <= F.col("_best.total")) & other(s)), F.lit(False)).alias("non_unique"))
 
 
 def pay_per_year(
@@ -112,9 +137,10 @@ def pay_per_year(
     ``units`` (unit_type, unit_code, factor) is a small dictionary and is read by the driver; more than
     ``max_units`` rows raise ValueError. A field with two amounts is a range and gives both bounds, but a
     bound's own field goes first. An amount without a scale beside one with a scale in the other bound
-    takes whichever of the two scales leaves the smaller log ratio between the bounds. The other
-    statements are reconciled as the module describes; ``non_unique`` marks ties between different
-    factors, where the statement nearest to the amount was taken. Null, empty, wordy or non-positive
+    takes whichever of the two scales leaves the smaller log ratio between the bounds. Where the other
+    statements contradict one another both bounds are reconciled together as the module describes:
+    ``residual`` is the sum of what the statements differ from those taken, ``non_unique`` marks ties between
+    different factors, where the statement nearest to the amount was taken. Nothing that no statement says is tried. Null, empty, wordy or non-positive
     amounts and rows without a readable currency or period give nothing, as does a number that no rule
     reads, such as 1,2345. Repeated rows give one. Very long texts are read whole.
     """
@@ -151,22 +177,24 @@ def pay_per_year(
     joint = (F.least("_k_min", "_k_max") == 1) & (together < apart)
     field_scale = F.coalesce(F.col("_s_cur"), F.lit("1")).cast("decimal(12,2)")
 
-    def bound(name: str, own: str, other: str) -> Column:
+    def amount(name: str) -> Column:
         scale = F.when(joint, shared).otherwise(F.col(f"_k_{name}"))
         # a scale beside the amount is the same statement as one in the currency field, not a second one
-        scale = F.when(scale == 1, field_scale).otherwise(scale)
-        return F.struct(
-            F.lit(name).alias("bound"), (value(name) * scale).cast("decimal(24,4)").alias("amount"),
-            F.array_compact(F.array(f"_c_{own}", "_c_cur", f"_c_{other}")).alias("curs"), F.array_compact(F.array(f"_p_{own}", "_p_per", f"_p_{other}")).alias("pers"),
-        )
-
-    d = d.select(F.col(key), F.explode(F.array(bound("min", "lo", "hi"), bound("max", "hi", "lo"))).alias("_b")).select(key, "_b.*")
-    d = d.where((F.col("amount") > 0) & (F.size("curs") > 0) & (F.size("pers") > 0) & (F.get("curs", F.lit(0)) != "other"))
-    d = d.withColumn("curs", F.filter("curs", lambda c: c != "other"))
-    best_c, best_p = _least(F.array_distinct("curs"), F.col("curs"), logs["currency"]), _least(F.array_distinct("pers"), F.col("pers"), logs["interval"])
-    d = d.withColumns({"_bc": best_c, "_bp": best_p})
-    exact = F.round(F.col("amount") * number["currency"][F.col("_bc.code")].cast("decimal(14,6)") * number["interval"][F.col("_bp.code")].cast("decimal(10,2)"), 0)
-    return d.select(
-        key, "bound", exact.cast("bigint").alias("usd_year"), (F.col("_bc.residual") + F.col("_bp.residual")).alias("residual"),
-        (_tied(F.array_distinct("curs"), F.col("curs"), logs["currency"], F.col("_bc")) | _tied(F.array_distinct("pers"), F.col("pers"), logs["interval"], F.col("_bp"))).alias("non_unique"),
-    ).distinct()
+        return (value(name) * F.when(scale == 1, field_scale).otherwise(scale)).cast("decimal(24,4)")
+
+    def stated(kind: str, field: str, own: str, other: str) -> Column:
+        """The statements of a unit for one bound, the nearest first; 'other' stands for a currency without a factor."""
+        return F.array_compact(F.array(f"_{kind}_{own}", f"_{kind}_{field}", f"_{kind}_{other}"))
+
+    d = held(d, key, *[amount(n).alias(f"_amount_{n}") for n in ("min", "max")], *[
+        stated(kind, field, own, other).alias(f"_{kind}s_{name}") for kind, field in (("c", "cur"), ("p", "per")) for name, own, other in (("min", "lo", "hi"), ("max", "hi", "lo"))])
+    read = lambda n: (F.col(f"_amount_{n}") > 0) & (F.size(f"_cs_{n}") > 0) & (F.size(f"_ps_{n}") > 0) & (F.get(f"_cs_{n}", F.lit(0)) != "other")
+    d = held(d, *[F.col(c) for c in d.columns], *[F.coalesce(read(n), F.lit(False)).alias(f"_read_{n}") for n in ("min", "max")]).where("_read_min OR _read_max")
+    none = F.array().cast("array<string>")
+    d = held(d, key, "_amount_min", "_amount_max", "_read_min", "_read_max", *[F.when(F.col(f"_read_{n}"), F.ln(F.col(f"_amount_{n}").cast("double"))).alias(f"_v_{n}") for n in ("min", "max")], *[
+        F.when(F.col(f"_read_{n}"), F.filter(f"_{k}s_{n}", lambda c: c != "other")).otherwise(none).alias(f"_{k}s_{n}") for k in "cp" for n in ("min", "max")])
+    d = reconciled(d, logs, [key, "_amount_min", "_amount_max", "_read_min", "_read_max"])
+    bound = lambda n, u: F.struct(F.lit(n).alias("bound"), F.when(F.col(f"_read_{n}"), F.col(f"_amount_{n}")).alias("amount"), F.col(u).alias("unit"))
+    d = d.select(key, "residual", "non_unique", F.explode(F.array(bound("min", "_lo"), bound("max", "_hi"))).alias("_b")).where("_b.amount IS NOT NULL")
+    exact = F.round(F.col("_b.amount") * number["currency"][F.col("_b.unit.c")].cast("decimal(20,8)") * number["interval"][F.col("_b.unit.p")].cast("decimal(12,4)"), 0)
+    return d.select(key, "_b.bound", exact.cast("bigint").alias("usd_year"), "residual", "non_unique").distinct()

@@ -106,10 +106,10 @@ def sitemap_locations(xml: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*([^<]*?)\s*</loc>"), 1), lambda u: F.regexp_replace(u, "&amp;", "&")))
 
 
-def sitemap_postings(pages: DataFrame, pattern: str, most_maps: int = 25) -> DataFrame:
-    """Rows (slug, url) of landed sitemaps (slug, url, payload): an index names maps, of which the first so many by address are read one level down."""
+def sitemap_postings(pages: DataFrame, pattern: str) -> DataFrame:
+    """Rows (slug, url) of landed sitemaps (slug, url, payload): an index names maps, and all of them that landed are read, one level down."""
     listed = pages.select("slug", "url", F.col("payload").rlike("(?i)<sitemapindex").alias("index"), F.explode(sitemap_locations(F.col("payload"))).alias("loc"))
-    below = listed.where("index").groupBy("slug").agg(F.slice(F.array_sort(F.collect_set("loc")), 1, most_maps).alias("maps")).select("slug", F.explode("maps").alias("map"))  # one index a slug
+    below = listed.where("index").select("slug", F.col("loc").alias("map")).distinct()
     own = listed.where("NOT index")
     named = own.join(below, (own["slug"] == below["slug"]) & (own["url"] == below["map"]), "left_semi")
     alone = own.join(below.select("slug").distinct(), "slug", "left_anti")

@@ -105,3 +105,26 @@ def test_round_trip_of_generated_statements(spark):
     got = {(r["id"], r["bound"]): r["usd_year"] for r in pay_per_year(spark.createDataFrame(rows, SCHEMA), units).collect()}
     wrong = {k: (got.get(k), v, rows[k[0]]) for k, v in want.items() if got.get(k) != v}
     assert not wrong, list(wrong.items())[:5]
+
+
+CONFLICTS = {
+    # low an hour, high a year, field a year: the amounts agree only so
+    1: (("25 / hour", "60000", "USD", "yearly"), {("min", 52000), ("max", 60000)}, False),
+    # two currencies for one amount and nothing to choose by: the one beside it, flagged
+    2: (("EUR 50000", None, "GBP", "yearly"), {("min", None)}, True),
+    # the field's currency against that of both amounts: two statements outweigh one
+    3: (("$50,000", "$60,000", "EUR", "yearly"), {("min", 50000), ("max", 60000)}, False),
+    # the other bound names the period that makes the amounts meet
+    4: (("4000 monthly", "50000 yearly", "USD", None), {("min", 48000), ("max", 50000)}, False),
+    5: (("50000", "60000", "USD", "yearly"), {("min", 50000), ("max", 60000)}, False),
+}
+
+
+def test_contradicting_statements_are_reconciled_by_the_amounts(spark):
+    units = spark.createDataFrame([("currency", "USD", 1.0), ("currency", "EUR", 1.1), ("currency", "GBP", 1.3), ("interval", "yearly", 1.0), ("interval", "monthly", 12.0), ("interval", "hourly", 2080.0)], "unit_type string, unit_code string, factor double")
+    df = spark.createDataFrame([(k, *v[0]) for k, v in CONFLICTS.items()], "id int, salary_min string, salary_max string, salary_currency string, salary_interval string")
+    rows = pay_per_year(df, units).collect()
+    for k, (_, want, unsure) in CONFLICTS.items():
+        mine = [r for r in rows if r["id"] == k]
+        assert {(r["bound"], r["usd_year"]) for r in mine} == {(b, 55000 if v is None else v) for b, v in want}, (k, mine)
+        assert {r["non_unique"] for r in mine} == {unsure} and all((r["residual"] > 0) == (k != 5) for r in mine), (k, mine)
