@@ -53,7 +53,7 @@ def snapshot_changes(
     order: str = "load_seq",
     gone: str = "removed_at",
     compare: Sequence[str] = ("title", "department", "location", "workplace_type", "employment_type"),
-    bits: int = 4,
+    bits: int = 6,
     leaf_rows: int = 4,
     depth: int | None = None,
     report: bool = False,
