@@ -12,7 +12,7 @@ from jobweft.functions.patterns import either, sql_first_label, sql_found
 from jobweft.operators import changes, matching
 from jobweft.operators.merge import POLICIES, Policy, absence, last_of_key, merge, sync_counts
 from jobweft.plans import problems, search
-from jobweft.session import table
+from jobweft.session import dealt, table
 
 AS_OF = "2025-06-01 00:00:00"
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -34,7 +34,7 @@ def jobs(spark: SparkSession, sf: str, where: str | Column | None = None) -> Dat
 def stored(spark: SparkSession, sf: str, where: str | Column | None = None) -> DataFrame:
     """The postings with their repeated rows: what is computed from a row alone is computed first, and its narrow result made distinct."""
     d = table(spark, sf, "jobs")
-    return d if where is None else d.where(where)
+    return dealt(d if where is None else d.where(where), "id")
 
 
 def companies(spark: SparkSession, sf: str, where: str | Column | None = None) -> DataFrame:
