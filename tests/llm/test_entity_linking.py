@@ -1,3 +1,8 @@
+import random
+
+from pyspark.sql import functions as F
+
+from jobweft.llm import entity_linking
 from jobweft.llm.entity_linking import link_names, same_entity_pairs
 
 SCHEMA = "id bigint, company_name string, domain string, group_id string, pid string"
@@ -42,3 +47,42 @@ def test_sister_firms_on_one_domain(spark):
         rows = [(1, a, "northgroup.example.com"), (2, b, "northernlight.example.com"), (3, short, "northernlight.example.com"), (4, a, "northernlight.example.com")]
         pairs = {tuple(r) for r in same_entity_pairs(frame(spark, rows)).collect()}
         assert pairs == {(2, 3), (1, 4)}, (a, b)
+
+
+def edited(rng, word, edits):
+    for _ in range(edits):
+        i = rng.randrange(len(word) or 1)
+        word = rng.choice([word[:i] + word[i + 1:], word[:i] + rng.choice("abdeiklmnorstu") + word[i:], word[:i] + rng.choice("abdeiklmnorstu") + word[i + 1:], word[:i] + word[i:i + 2][::-1] + word[i + 2:]])
+    return word
+
+
+FAR = [
+    (1, "Engelbrechtsen Wallenstadter", None), (2, "Engelprechtzen Wallemstatter", None),  # two edits in each word
+    *[(10 + i, f"{w} Smith", None) for i, w in enumerate("Haverkamp Oduya Lindqvist Pereira Takahashi Novotny Campbell Iyer Brzezinski Castellanos Guðmundur Papadakis".split())], (30, "Smith Havercamb", None),  # a family name that many hold
+    (40, "Tomaso Veludi Karenko", None), (41, "Veludi Tomaso Karenko", None), (42, "VTK", "veluditomasokarenko.example"),  # the other order is written together
+    (50, "IBM", "ibm.example"), (51, "International Business Machines", "ibm.example"),  # a short label
+    (60, "Q. One", f"{'abcdefghij' * 7}.example"), (61, "Q. Two", f"{'abcdefghij' * 6}abcdefghik.example"),  # labels longer than a host may have
+    (70, "Kabor Ninul", None), (71, "Kabon Nimul", None), (72, "Vorik Tasel Udomi Gepan", None), (73, "Vorak Tazel Udimi Gepam", None),  # just at the threshold
+    (80, "Abernathy Konstantinopel Energy", None), (81, "Avernady Constantinobel Energy", None), (82, "Abernathy Konstantinopel Foods", None),
+]
+
+
+def test_all_pairs_at_the_threshold_are_met(spark, monkeypatch):
+    """Groups are those of a comparison of all pairs: nothing is left out for being misspelt in all its words, for common words, lengths or order."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("bdklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    rows = list(FAR)
+    for i in range(100, 320):
+        name = [edited(rng, w, rng.choice([0, 0, 0, 1, 1, 2, 3])) for w in rng.sample(words[:8] if i % 5 == 0 else words, rng.choice([1, 2, 2, 2, 3, 4, 8]))]
+        label = rng.choice([None, None, None, "".join(name), "".join(name[::-1]), "".join(w[0] for w in name if w)])
+        rows.append((i, " ".join([*name, rng.choice(["", "", "Energy", "Foods"])]), label and f"{edited(rng, label, rng.choice([0, 0, 1, 2]))}.example"))
+    groups = lambda: {r["id"]: r["group_id"] for r in link_names(frame(spark, rows)).collect()}
+    got = groups()
+    assert {i: got[i] for i in (2, 30, 41, 42, 51, 61, 71, 73, 81, 82)} == {2: 1, 30: 10, 41: 40, 42: 40, 51: 50, 61: 60, 71: 70, 73: 72, 81: 80, 82: 82}
+    monkeypatch.setattr(entity_linking, "candidate_pairs", lambda facts, *_: facts.select(F.col("pid").alias("a")).join(facts.select(F.col("pid").alias("b")), F.col("a") < F.col("b")))
+    assert got == groups()
+    # with next to every word taken for a common one, the others ask for less
+    monkeypatch.undo()
+    met = entity_linking.candidate_pairs
+    monkeypatch.setattr(entity_linking, "candidate_pairs", lambda *a: met(*a, hot=2, least_near=0.3))
+    assert got == groups()
